@@ -23,14 +23,18 @@ from .common import ascii_lower, located, scratch, settle, text_of
 GROUP_PER_TASK = 512
 #: Files that one micro-batch takes from the table of digests.
 FILES_PER_BATCH = 4096
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lies on disk; its files take the room that they need, without preallocation, and its memory is bounded.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
 
 @contextmanager
-def _settings(spark: SparkSession, **conf: str):
-    keys = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -46,7 +50,7 @@ def observe(stream: DataFrame, state_dir: str) -> None:
     """
     spark = stream.sparkSession
     seen = stream.groupBy("digest").agg(F.max("ident").alias("winner"), F.count(F.lit(1)).alias("n"))
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with _settings(spark, STATE):
         query = (
             seen.writeStream.outputMode("update").format("noop")
             .option("checkpointLocation", state_dir).trigger(availableNow=True).start()
@@ -56,7 +60,7 @@ def observe(stream: DataFrame, state_dir: str) -> None:
 
 def state_of(spark: SparkSession, state_dir: str) -> DataFrame:
     """(digest, winner, n) as the state holds them."""
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with _settings(spark, STATE):
         state = spark.read.format("statestore").load(state_dir)
     names = state.schema["value"].dataType.fieldNames()
     return state.select(
