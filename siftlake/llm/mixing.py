@@ -116,7 +116,7 @@ def _mix(spots: DataFrame, weights=WEIGHTS, share=1.5, cap=2, block=BLOCK, seed=
     spans = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, [*key, "bucket"])
     spans = spans.withColumn("start", F.col("base") + F.col("ahead")).withColumn("end", F.col("start") + F.col("size"))
 
-    slots = settle(_schedule(spark, sources, key), "mix-slots")
+    slots = _schedule(spark, sources, key)
     at = (F.col("rank") % F.col("blocks")).alias("block")
     epoch = F.expr("rank div blocks")
     lasts = F.least(F.lit(block) * (at + 1), F.col("goal") - epoch * F.col("source_size"))
