@@ -49,16 +49,13 @@ class Counts:
             return sum(map(get, pieces))
         except KeyError:
             new = [p for p in set(pieces) if p not in self.known]
-        lengths = [len(e.ids) for e in self.enc.tokenizer.encode_batch(new, add_special_tokens=False)]
+        lengths = [len(self.enc.piece(p)) for p in new]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             self.known.update(self.table)
         here = dict(zip(new, lengths))
         self.known.update((p, n) for p, n in here.items() if len(p) <= LONGEST)
-        return sum(self.known[p] if p in self.known else here[p] if p in here else self._one(p) for p in pieces)
-
-    def _one(self, piece: str) -> int:
-        return len(self.enc.tokenizer.encode(piece, add_special_tokens=False).ids)
+        return sum(self.known[p] if p in self.known else here[p] if p in here else len(self.enc.piece(p)) for p in pieces)
 
     def count(self, text: str) -> int:
         enc = self.enc

@@ -19,6 +19,13 @@ LONGEST = 64
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte: itself where it can be printed, else the next letter from 256 on."""
+    shown = {b for b in range(256) if chr(b).isprintable() and b != 32}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit integers in bytes; `seen` maps pre-tokens to such bytes."""
 
@@ -32,20 +39,25 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(PATTERN).findall
         self.seen: dict[str, bytes] = {}
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token: the library's model on its byte letters."""
+        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     @staticmethod
     def pack(ids) -> bytes:
         return array.array("I", ids).tobytes()  # machines here are little-endian
 
     def learn(self, pieces) -> None:
-        """Encodes all pieces not seen yet in one call."""
+        """Encodes all pieces not seen yet."""
         new = [p for p in set(pieces) if p not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen = {}
             new = list(set(pieces))
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.seen[p] = self.pack(e.ids)
+        for p in new:
+            self.seen[p] = self.pack(self.piece(p))
 
     def plain(self, text: str) -> bytes:
         pieces = self.split(text)
