@@ -141,14 +141,14 @@ def edited(text: str, following: str) -> str:
 def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one with the next lesser id (of equal ids, the next text; null ids come
-    last); after the last comes the first. Null texts are empty. An empty table gives no row. Texts are
+    The next document is the one with the next lesser id (of equal ids, by hash of the text; null ids
+    come last); after the last comes the first. Null texts are empty. An empty table gives no row. Texts are
     dealt by ranges of the id, so each partition needs but one text of the partition after it.
     """
     small_batches(docs.sparkSession)
     narrow = docs.select(column(docs, id_col).alias("doc_id"), text_of(column(docs, text_col)).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    placed = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]  # the ranges are found from samples of these
+    placed = narrow.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc())
     result = [
         narrow.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
         T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
