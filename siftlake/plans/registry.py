@@ -4,5 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import joins, soc
+from .dialects import register_sql
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _pack in (soc.PACK, joins.PACK):
+    register_sql(QUERIES, ORACLE_SQL, _pack)
