@@ -13,18 +13,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: (u: long, v: long), undirected, repeats and loops allowed. Each round hangs the greater
     neighbours of every node, then its lesser ones, under the least it knows; rounds grow with the
-    logarithm of the size. Minima are combined before the shuffle, and the joins back to the edges have
-    one row on the other side, so a hub's partition can be split.
+    logarithm of the size. Minima are combined before the shuffle and written, so the joins back to the
+    edges are joins of two shuffles, in which a hub's partition can be split.
     """
     e = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = settle(large.filter("u <> v").distinct(), "edges-large")
         # Now u > v in every edge: small stars gather the lesser neighbours of each node.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = settle(small.filter("u <> v").distinct(), "edges")
         now = _mark(e)

@@ -269,7 +269,7 @@ def _groups(spots: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFra
     )
     groups = components(links(nodes, plan))
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = settle(named.groupBy("root").agg(F.min("least").alias("component_id")), "near-ids")  # so a hot group's join can be split
     by_print = settle(named.join(ids, "root").select(*lanes, "component_id", F.col("root").alias("group_key")), "near-components")
     hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col(c)), 16, "0") for c in reversed(lanes)]))
     return rows.join(by_print, lanes).select("doc_id", hexed.alias("fingerprint"), "component_id", "group_key", "file", "row")
