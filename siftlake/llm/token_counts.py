@@ -11,24 +11,23 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, small_batches, text_of
 from .tokens import LONGEST, REMEMBERED, Encoder, default_vocabulary, encoder
 
-#: Whole texts of the sample, characters after which it ends sooner, and entries of tier 1.
-SAMPLE, SAMPLE_CHARS, TABLE = 1000, 4_000_000, 32_768
+#: Texts of the sample (whole ones), characters that such a text has at most, and entries of tier 1.
+SAMPLE, SAMPLE_CHARS, TABLE = 1000, 40_000, 32_768
 _LENGTHS: dict[str, dict[str, int]] = {}
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, vocabulary: str) -> dict[str, int]:
     """Tier 1: pre-token -> number of tokens."""
-    enc, seen, left = Encoder(vocabulary), Counter(), SAMPLE_CHARS
-    for (text,) in docs.select(text_of(column(docs, text_col))).limit(SAMPLE).toLocalIterator():
+    enc, seen = Encoder(vocabulary), Counter()
+    texts = docs.select(text_of(column(docs, text_col)).alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
+    for (text,) in texts.take(SAMPLE):  # reads no more partitions than it needs
         seen.update(p for p in enc.split(text) if len(p) <= LONGEST)
-        left -= len(text)
-        if left <= 0:
-            break
     top = [p for p, _ in seen.most_common(TABLE)]
     enc.learn(top)
     return {p: len(enc.seen[p]) // 4 for p in top}
