@@ -287,7 +287,8 @@ def stream_panel(spark, sf_dir):
 def stream_ordered_sequences(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir)
     out = scratch(spark, "sequences")
-    stream = streams.ordered_sequences(streams.file_stream(spark, path, schema), "ts", "user_id", "event_type", ["signup", "error", "purchase"], 86400)
+    # All files in one batch: a batch is taken in order of time, batches in the order of their files.
+    stream = streams.ordered_sequences(streams.file_stream(spark, path, schema, 10_000), "ts", "user_id", "event_type", ["signup", "error", "purchase"], 86400)
     streams.drain(stream, out, scratch(spark, "ckpt"))
     return spark.read.schema("key string, start long, at long").parquet(out)
 
