@@ -94,12 +94,12 @@ def correlation_ordered(spark, sf_dir):
     return sigma.correlate(_matches(spark, sf_dir), {"type": "temporal_ordered", "rules": ["signup", "error", "purchase"], "group-by": ["user_id"], "timespan": "1d"})
 
 
-@query("""WITH RECURSIVE {soc}, keys AS (SELECT DISTINCT user_id AS node, dst_ip AS key FROM soc WHERE uid % 40 = 0),
+@query("""WITH RECURSIVE {soc}, keys AS (SELECT DISTINCT user_id AS node, sec AS key FROM soc),
 reach AS (SELECT node, node AS other FROM (SELECT DISTINCT node FROM keys) n UNION SELECT r.node, k2.node FROM reach r JOIN keys k1 ON k1.node = r.other JOIN keys k2 ON k1.key = k2.key)
 SELECT node, min(other) AS cluster FROM reach GROUP BY node""")
 def entity_resolution(spark, sf_dir):
-    rows = soc(spark, sf_dir).filter("uid % 40 = 0")
-    return components.resolve(rows.select(F.col("user_id").alias("node"), F.col("dst_ip").alias("key")))
+    """Users who act within the same second, directly or along a chain."""
+    return components.resolve(soc(spark, sf_dir).select(F.col("user_id").alias("node"), F.col("sec").alias("key")))
 
 
 TRUST = {"exact": 1.0, "curated": 0.9, "derived": 0.6, "inferred": 0.25}
@@ -167,13 +167,13 @@ def mapping_normalise(spark, sf_dir):
                       F.col("dst_endpoint.port").alias("dst_port"), "traffic.bytes_out", "unmapped.proto")
 
 
-@query("""WITH {soc}, g AS (SELECT uid, src_ip, k FROM soc WHERE uid % 10 < 8), e AS (SELECT uid, src_ip, CASE WHEN uid % 6 = 0 THEN NULL ELSE k END AS k FROM soc WHERE uid % 10 > 0)
+@query("""WITH {soc}, g AS (SELECT uid, src_ip, k FROM soc), e AS (SELECT uid, src_ip, CASE WHEN uid % 6 = 0 THEN NULL ELSE k END AS k FROM soc WHERE activity <> 'view')
 SELECT 'src_ip' AS field, count(*) AS gold, count(e.uid) AS present, count(*) FILTER (WHERE e.uid IS NOT NULL AND g.src_ip IS NOT DISTINCT FROM e.src_ip) AS same FROM g LEFT JOIN e ON g.uid = e.uid
 UNION ALL SELECT 'k', count(*), count(e.uid), count(*) FILTER (WHERE e.uid IS NOT NULL AND g.k IS NOT DISTINCT FROM e.k) FROM g LEFT JOIN e ON g.uid = e.uid""")
 def mapping_fidelity(spark, sf_dir):
     rows = soc(spark, sf_dir)
-    emitted = rows.filter("uid % 10 > 0").withColumn("k", F.when(F.col("uid") % 6 != 0, F.col("k")))
-    return mapping.fidelity(rows.filter("uid % 10 < 8"), emitted, "uid", ["src_ip", "k"])
+    emitted = rows.filter("activity <> 'view'").withColumn("k", F.when(F.col("uid") % 6 != 0, F.col("k")))
+    return mapping.fidelity(rows, emitted, "uid", ["src_ip", "k"])
 
 
 @query("""WITH {soc}, n AS (SELECT uid, {'ip': src_ip, 'port': dst_port} AS s, [activity, proto] AS obs FROM soc)
@@ -220,7 +220,7 @@ def fn_ipv4_expression(spark, sf_dir):
     return soc(spark, sf_dir).select("uid", ipv4(F.col("src_ip")).alias("ip"))
 
 
-@query("WITH {soc} SELECT dst_port, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS bytes FROM soc WHERE uid % 5 < 4 AND NOT (uid % 5 < 3 AND dst_port = 53) GROUP BY dst_port")
+@query("WITH {soc} SELECT dst_port, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS bytes FROM soc WHERE NOT (uid % 5 < 3 AND dst_port = 53) GROUP BY dst_port")
 def logtable_history(spark, sf_dir):
     """Appends, a delete, a small inlined append, compaction and expiry; then the rows that are left."""
     rows = soc(spark, sf_dir).select("uid", "dst_port", "bytes_out")
@@ -228,7 +228,7 @@ def logtable_history(spark, sf_dir):
     for k in range(3):
         t.append(rows.filter(F.col("uid") % 5 == k))
     t.delete(F.col("dst_port") == 53)
-    t.append(rows.filter(F.col("uid") % 5 == 3))
+    t.append(rows.filter(F.col("uid") % 5 >= 3))
     t.compact(2, ["uid"])
     t.expire(1)
     return t.read().groupBy("dst_port").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes"))

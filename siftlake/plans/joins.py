@@ -40,12 +40,12 @@ GROUP BY s.s_name ORDER BY numwait DESC, s.s_name LIMIT 100""",
     "join_tax_joined": "SELECT p.p_partkey % 10 AS k, CAST(sum(l.l_quantity) AS BIGINT) AS q FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey % 10",
     "join_left_coalesce": "WITH {soc}, a AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 22 GROUP BY user_id), b AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 53 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM soc) SELECT u.user_id, coalesce(a.v, b.v, -1) AS picked FROM u LEFT JOIN a ON u.user_id = a.user_id LEFT JOIN b ON u.user_id = b.user_id",
     "join_left_degenerate": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 100000 AND o.o_orderstatus = 'P'",
-    "join_shared_keys": "WITH {soc}, keys AS (SELECT DISTINCT activity AS source, user_id, dst_ip AS key_value FROM soc WHERE class_uid = 3002 OR activity = 'signup') SELECT a.user_id AS u, b.user_id AS v, a.key_value FROM keys a JOIN keys b ON a.key_value = b.key_value AND (a.source < b.source) WHERE a.user_id < 5 AND b.user_id < 5",
+    "join_shared_keys": "WITH {soc}, keys AS (SELECT DISTINCT activity AS source, user_id, concat(CAST(dst_port AS STRING), '@', CAST(time {div} 60000 AS STRING)) AS key_value FROM soc) SELECT a.user_id AS u, b.user_id AS v, a.key_value FROM keys a JOIN keys b ON a.key_value = b.key_value AND a.source < b.source",
     "join_temporal_range": "WITH {soc}, alerts AS (SELECT uid, src_ip, time FROM soc WHERE activity = 'error') SELECT a.uid AS alert, n.uid AS flow, n.time - a.time AS lag_ms FROM alerts a JOIN soc n ON n.src_ip = a.src_ip AND n.time BETWEEN a.time AND a.time + 300000 WHERE n.uid <> a.uid",
     "join_alias_resolution": "WITH {soc}, dns AS (SELECT DISTINCT src_ip, concat('host', CAST(user_id AS STRING)) AS hostname FROM soc) SELECT s.uid, d.hostname FROM soc s JOIN dns d ON s.src_ip = d.src_ip WHERE s.dst_port = 3389 UNION SELECT s.uid, d.hostname FROM soc s JOIN dns d ON concat('host', CAST(s.user_id AS STRING)) = d.hostname WHERE s.dst_port = 3389",
-    "join_gold_coverage": "WITH {soc}, gold AS (SELECT uid, bytes_out FROM soc WHERE uid % 10 < 8), emitted AS (SELECT uid, CASE WHEN uid % 9 = 0 THEN bytes_out + 1 ELSE bytes_out END AS bytes_out FROM soc WHERE uid % 10 > 0) SELECT count(*) AS gold, count(e.uid) AS covered, count(*) FILTER (WHERE g.bytes_out = e.bytes_out) AS equal FROM gold g LEFT JOIN emitted e ON g.uid = e.uid",
+    "join_gold_coverage": "WITH {soc}, gold AS (SELECT uid, bytes_out FROM soc), emitted AS (SELECT uid, CASE WHEN uid % 9 = 0 THEN bytes_out + 1 ELSE bytes_out END AS bytes_out FROM soc WHERE activity <> 'view') SELECT count(*) AS gold, count(e.uid) AS covered, count(*) FILTER (WHERE g.bytes_out = e.bytes_out) AS equal FROM gold g LEFT JOIN emitted e ON g.uid = e.uid",
     "graph_star_coverage": "SELECT r.r_name, count(DISTINCT n.n_nationkey) AS nations, count(DISTINCT c.c_custkey) AS customers, count(DISTINCT o.o_orderkey) AS orders FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY r.r_name",
-    "sql_process_tree": "WITH RECURSIVE tree AS (SELECT event_id AS pid, 0 AS depth FROM events WHERE event_id = 1 UNION ALL SELECT e.event_id, t.depth + 1 FROM tree t JOIN events e ON e.event_id {div} 4 = t.pid AND e.event_id <> t.pid WHERE t.depth < 4) SELECT pid, depth FROM tree",
+    "sql_process_tree": "WITH RECURSIVE tree AS (SELECT event_id AS pid, 0 AS depth FROM events WHERE event_id = 1 UNION ALL SELECT e.event_id, t.depth + 1 FROM tree t JOIN events e ON e.event_id {div} 4 = t.pid AND e.event_id <> t.pid WHERE t.depth < 10) SELECT pid, depth FROM tree",
     "merge_cross_tool": "WITH {soc}, obs AS (SELECT user_id AS asset, activity AS source, dst_port AS attribute, bytes_out AS v, (time {div} 86400000) AS day, 1 + uid % 4 AS authority, uid FROM soc), scored AS (SELECT *, power(0.5, CAST(19753 - day AS DOUBLE) / 7) + 0.1 * authority AS score FROM obs), best AS (SELECT asset, attribute, source, v, row_number() OVER (PARTITION BY asset, attribute ORDER BY score DESC, source, uid) AS r FROM scored) SELECT asset, attribute, source, v FROM best WHERE r = 1",
     "merge_authority_only": "WITH {soc}, obs AS (SELECT user_id AS asset, dst_port AS attribute, activity AS source, bytes_out AS v, 1 + uid % 4 AS authority, uid FROM soc) SELECT asset, attribute, source, v FROM (SELECT *, row_number() OVER (PARTITION BY asset, attribute ORDER BY authority DESC, source, uid) AS r FROM obs) t WHERE r = 1",
     "score_prf": "WITH {soc}, truth AS (SELECT uid FROM soc WHERE bytes_out > 8000), found AS (SELECT uid FROM soc WHERE bytes_out > 9000 OR uid % 50 = 0) SELECT (SELECT count(*) FROM truth) AS truth_n, (SELECT count(*) FROM found) AS found_n, count(*) AS tp FROM truth JOIN found ON truth.uid = found.uid",
@@ -54,6 +54,6 @@ GROUP BY s.s_name ORDER BY numwait DESC, s.s_name LIMIT 100""",
   count(s) AS counted, count(*) FILTER (WHERE s IS NULL) AS nulls, count(*) FILTER (WHERE s = '') AS empty,
   count(*) FILTER (WHERE s <> 'evil' OR s IS NULL) AS neq_or_null, count(*) FILTER (WHERE i = 5) AS five, count(*) FILTER (WHERE i <> 5) AS not_five,
   count(*) FILTER (WHERE coalesce(i, 0) = 0) AS zero
-FROM (SELECT CASE WHEN event_id < 100 THEN 'allow1' WHEN event_id < 250 THEN 'allow2' WHEN event_id < 300 THEN 'evil' WHEN event_id < 330 THEN '' END AS s,
-  CASE WHEN event_id < 60 THEN 5 WHEN event_id < 260 THEN 7 END AS i FROM events WHERE event_id < 370) t""",
+FROM (SELECT CASE event_type WHEN 'view' THEN 'allow1' WHEN 'click' THEN 'allow2' WHEN 'error' THEN 'evil' WHEN 'signup' THEN '' END AS s,
+  CASE WHEN value < 2 THEN 5 WHEN value < 8 THEN 7 END AS i FROM events) t""",
 }
