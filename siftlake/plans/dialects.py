@@ -31,10 +31,25 @@ SOC = """soc AS (
   FROM events
 )"""
 
+#: The seven tables of the event store, as analysts' questions name them.
+STORE = """{soc},
+auth AS (SELECT uid AS event_uid, time, user_id AS user_uid, CASE WHEN status_id = 2 THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome, dst_port = 3389 AS is_remote
+  FROM soc WHERE activity IN ('error', 'signup')),
+session AS (SELECT min(uid) AS event_uid, user_id AS user_uid, concat('WS', CAST(user_id AS STRING)) AS host, min(time) AS start_time, max(time) AS end_time
+  FROM soc GROUP BY user_id, time {div} 86400000),
+network AS (SELECT uid AS event_uid, time, concat('WS', CAST(user_id AS STRING)) AS src_hostname, src_ip, dst_ip, dst_port, bytes_out, coalesce(k, 0) AS bytes_in, bytes_out % 600 AS duration
+  FROM soc WHERE activity IN ('view', 'click')),
+dns AS (SELECT uid AS event_uid, time, concat('WS', CAST(user_id AS STRING)) AS src_hostname, concat('h', CAST(bytes_out % 997 AS STRING), '.example') AS query_hostname FROM soc WHERE proto = 'udp'),
+process AS (SELECT uid AS event_uid, time, concat('WS', CAST(user_id AS STRING)) AS device_hostname, CASE WHEN k < 30 THEN 'powershell.exe' WHEN k < 60 THEN 'cmd.exe' ELSE 'svchost.exe' END AS image_name,
+  concat(CASE WHEN k < 30 THEN 'powershell.exe' WHEN k < 60 THEN 'cmd.exe' ELSE 'svchost.exe' END, CASE WHEN k < 25 THEN ' -EncodedCommand ' ELSE ' /c ' END, CAST(bytes_out AS STRING)) AS cmd_line FROM soc WHERE activity = 'click'),
+api AS (SELECT uid AS event_uid, time, user_id AS actor_user_uid, CASE WHEN k < 40 THEN 'AssumeRole' WHEN k < 80 THEN 'GetObject' ELSE 'AttachUserPolicy' END AS api_operation,
+  CASE WHEN k < 40 THEN 'sts' WHEN k < 80 THEN 's3' ELSE 'iam' END AS service, bytes_out % 2 = 0 AS mfa_present FROM soc WHERE activity = 'purchase'),
+asset AS (SELECT DISTINCT concat('asset-', CAST(user_id % 1000 AS STRING)) AS canonical_asset, concat('WS', CAST(user_id AS STRING)) AS hostname, src_ip AS ip FROM soc)"""
+
 
 def both(text: str) -> tuple[str, str]:
     """(Spark SQL, oracle SQL) of a text."""
-    text = text.replace("{soc}", SOC)
+    text = text.replace("{store}", STORE).replace("{soc}", SOC)
 
     def filled(d):
         out = text

@@ -40,7 +40,7 @@ GROUP BY s.s_name ORDER BY numwait DESC, s.s_name LIMIT 100""",
     "join_tax_joined": "SELECT p.p_partkey % 10 AS k, CAST(sum(l.l_quantity) AS BIGINT) AS q FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey % 10",
     "join_left_coalesce": "WITH {soc}, a AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 22 GROUP BY user_id), b AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 53 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM soc) SELECT u.user_id, coalesce(a.v, b.v, -1) AS picked FROM u LEFT JOIN a ON u.user_id = a.user_id LEFT JOIN b ON u.user_id = b.user_id",
     "join_left_degenerate": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 100000 AND o.o_orderstatus = 'P'",
-    "join_shared_keys": "WITH {soc}, keys AS (SELECT DISTINCT activity AS source, user_id, concat(CAST(dst_port AS STRING), '@', CAST(time {div} 60000 AS STRING)) AS key_value FROM soc) SELECT a.user_id AS u, b.user_id AS v, a.key_value FROM keys a JOIN keys b ON a.key_value = b.key_value AND a.source < b.source",
+    "join_shared_keys": "WITH {soc}, keys AS (SELECT DISTINCT activity AS source, user_id, time {div} 60000 AS key_value FROM soc) SELECT a.user_id AS u, b.user_id AS v, a.key_value FROM keys a JOIN keys b ON a.key_value = b.key_value AND a.source < b.source",
     "join_temporal_range": "WITH {soc}, alerts AS (SELECT uid, src_ip, time FROM soc WHERE activity = 'error') SELECT a.uid AS alert, n.uid AS flow, n.time - a.time AS lag_ms FROM alerts a JOIN soc n ON n.src_ip = a.src_ip AND n.time BETWEEN a.time AND a.time + 300000 WHERE n.uid <> a.uid",
     "join_alias_resolution": "WITH {soc}, dns AS (SELECT DISTINCT src_ip, concat('host', CAST(user_id AS STRING)) AS hostname FROM soc) SELECT s.uid, d.hostname FROM soc s JOIN dns d ON s.src_ip = d.src_ip WHERE s.dst_port = 3389 UNION SELECT s.uid, d.hostname FROM soc s JOIN dns d ON concat('host', CAST(s.user_id AS STRING)) = d.hostname WHERE s.dst_port = 3389",
     "join_gold_coverage": "WITH {soc}, gold AS (SELECT uid, bytes_out FROM soc), emitted AS (SELECT uid, CASE WHEN uid % 9 = 0 THEN bytes_out + 1 ELSE bytes_out END AS bytes_out FROM soc WHERE activity <> 'view') SELECT count(*) AS gold, count(e.uid) AS covered, count(*) FILTER (WHERE g.bytes_out = e.bytes_out) AS equal FROM gold g LEFT JOIN emitted e ON g.uid = e.uid",
