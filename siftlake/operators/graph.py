@@ -120,3 +120,94 @@ def fingerprint(nodes: DataFrame, edges: DataFrame) -> str:
         return df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 40))), F.lit(0))).first()
 
     return hashlib.sha256(repr([tuple(part(nodes)), tuple(part(edges))]).encode()).hexdigest()
+
+
+def one_control(edges: DataFrame, is_control) -> DataFrame:
+    """Edges of which exactly one end is a control, turned so that it is dst; is_control maps a column of ids to a boolean."""
+    s, d = is_control(F.col("src")), is_control(F.col("dst"))
+    one = edges.filter(s != d)
+    turned = s & ~d
+    src, dst = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+    return one.select(src.alias("src"), dst.alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]).distinct()
+
+
+def reach(left: DataFrame, right: DataFrame, via: str) -> DataFrame:
+    """left (a, via) to right (b, via): pairs (a, b) whose technique is equal, or equal without its part after the dot."""
+    base = lambda c: F.split_part(F.col(c), F.lit("."), F.lit(1))
+    x, y = left.withColumn("base", base(via)), right.withColumn("base", base(via))
+    return x.select("a", "base").distinct().join(y.select("b", "base").distinct(), "base").select("a", "b").distinct()
+
+
+def coverage(nodes: DataFrame, edges: DataFrame, technique: str) -> DataFrame:
+    """(ntype, covered, best): how many nodes of each kind touch a technique, and their best trust."""
+    near = neighbours(edges, technique).groupBy("id").agg(F.max("trust").alias("trust"))
+    return near.join(nodes.select("id", "ntype"), "id").groupBy("ntype").agg(F.count(F.lit(1)).alias("covered"), F.max("trust").alias("best"))
+
+
+def retrieve(edges: DataFrame, seeds: list[str], budget: int = 60, alias_rel: str = "sameAs", rounds: int = 20) -> DataFrame:
+    """(id) of the seeds, of the budget's share of each seed's neighbours in order of id, and of all aliases of these.
+
+    The cut per seed is the feature: what is retrieved is read by someone. A hub's neighbours are ranked
+    within salted parts before the parts' best are ranked together, so no task sorts them all.
+    """
+    spark = edges.sparkSession
+    share = max(2, budget // max(1, len(seeds)))
+    start = spark.createDataFrame([(s, s) for s in seeds], "seed string, id string")
+    both = edges.select("src", "dst", "rel").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
+    near = both.join(F.broadcast(start.select(F.col("id").alias("src"), "seed")), "src").select("seed", F.col("dst").alias("id")).distinct()
+    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    part = Window.partitionBy("seed", salt).orderBy("id")
+    best = near.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= share).drop("r")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("id"))).filter(F.col("r") <= share)
+    kept = persisted(start.select("id").unionByName(best.select("id")).distinct())
+    alias = both.filter(F.col("rel") == alias_rel).select("src", F.col("dst").alias("id"))
+    front = kept
+    for _ in range(rounds):
+        front = persisted(alias.join(front.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct().join(kept, "id", "left_anti"))
+        if front.isEmpty():
+            break
+        kept = kept.unionByName(front)
+    return kept
+
+
+def serialise(nodes: DataFrame, edges: DataFrame, kept: DataFrame, seeds: list[str], most_nodes: int = 60, most_edges: int = 120, structure: bool = True) -> str:
+    """Facts of the kept nodes, seeds first, then their relationships; both cut. Without structure only the facts."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in seeds]).cast("array<string>"), F.col("id")), F.lit(0))
+    order = [F.when(rank == 0, len(seeds) + 1).otherwise(rank), "id"]
+    shown = nodes.join(kept, "id", "left_semi").orderBy(*order).limit(most_nodes).select("id", "label").collect()
+    lines = ["FACTS:"] + [f"- {r['id']}: {r['label']}" for r in shown]
+    if structure:
+        ids = [r["id"] for r in shown]
+        inner = edges.filter(F.col("src").isin(ids) & F.col("dst").isin(ids)).select("src", "rel", "dst").distinct()
+        lines += ["RELATIONSHIPS:"] + [f"  {r['src']} --{r['rel']}--> {r['dst']}" for r in inner.orderBy("src", "rel", "dst").limit(most_edges).collect()]
+    return "\n".join(lines)
+
+
+def stages(steps: list[DataFrame], labels: list[DataFrame | None]) -> DataFrame:
+    """(stage, source, target, n): for a chain of step tables (src, dst), distinct steps between groups of nodes.
+
+    labels[k] maps ids before step k (the last one: after the last step) to a group (id, grp); None leaves
+    ids as they are. Steps are counted once a pair, before the groups are looked up.
+    """
+    def grouped(df: DataFrame, column: str, names: DataFrame | None, out: str) -> DataFrame:
+        if names is None:
+            return df.withColumn(out, F.col(column))
+        return df.join(names.select(F.col("id").alias(column), F.col("grp").alias(out)), column)
+
+    out = None
+    for k, step in enumerate(steps):
+        pairs = step.select("src", "dst").distinct()
+        named = grouped(grouped(pairs, "src", labels[k], "source"), "dst", labels[k + 1], "target")
+        part = named.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("stage"), "source", "target", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def reconcile(nodes: DataFrame, edges: DataFrame, expected: dict[str, tuple[int, bool]]) -> DataFrame:
+    """(name, got, expected, hard, ok): counts "nodes", "edges", "nodes:TYPE", "edges:REL" and "dangling" against what they should be."""
+    n = {f"nodes:{r['ntype']}": r["count"] for r in nodes.groupBy("ntype").count().collect()}
+    e = {f"edges:{r['rel']}": r["count"] for r in edges.groupBy("rel").count().collect()}
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    got = n | e | {"nodes": sum(n.values()), "edges": sum(e.values()), "dangling": ends.join(nodes, "id", "left_anti").count()}
+    rows = [(k, got.get(k, 0), v, hard, got.get(k, 0) == v) for k, (v, hard) in expected.items()]
+    return edges.sparkSession.createDataFrame(rows, "name string, got long, expected long, hard boolean, ok boolean")

@@ -95,3 +95,80 @@ def fidelity(gold: DataFrame, emitted: DataFrame, key: str, columns: list[str])
     ]
     rows = both.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     return rows.groupBy("field").agg(F.count(F.lit(1)).alias("gold"), F.count_if("present").alias("present"), F.count_if("same").alias("same"))
+
+
+def routed(raw: DataFrame, routes: list[tuple[str, str, list[str]]], route: str = "route") -> DataFrame:
+    """raw with the name of the first route (name, SQL predicate, fields) that each row meets; rows that meet none go.
+
+    One pass decides for all routes; project() then takes a route's fields. A predicate that is null is not met.
+    """
+    first = None
+    for name, predicate, _ in routes:
+        met = F.coalesce(F.expr(predicate), F.lit(False))
+        first = F.when(met, name) if first is None else first.when(met, name)
+    return raw.withColumn(route, first).filter(F.col(route).isNotNull())
+
+
+def project(rows: DataFrame, name: str, fields: list[str], route: str = "route", keep: list[str] = ()) -> DataFrame:
+    """The fields of one route's rows; a field that the source lacks is a null text."""
+    have = set(rows.columns)
+    return rows.filter(F.col(route) == name).select(*[F.col(f) if f in have else F.lit(None).cast("string").alias(f) for f in [*fields, *keep]])
+
+
+@dataclass(frozen=True)
+class Coarse:
+    """What a lean store does to a table: texts cut, columns emptied, rare values dropped, event time lost."""
+
+    cut: tuple[tuple[str, int], ...] = ()
+    emptied: tuple[str, ...] = ()
+    rare: tuple[str, int] | None = None
+    time: tuple[str, str] | None = None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df after it. rare (column, n) keeps rows whose value has n rows or more; null values go. time (event, ingest) copies the latter."""
+        if self.rare:
+            column, n = self.rare
+            usual = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select(column)
+            df = df.join(usual, column, "left_semi")
+        kinds, cuts = dict(df.dtypes), dict(self.cut)
+        out = []
+        for c in df.columns:
+            if c in self.emptied:
+                out.append(F.lit(None).cast(kinds[c]).alias(c))
+            elif c in cuts:
+                out.append(F.left(F.col(c), F.lit(cuts[c])).alias(c))
+            elif self.time and c == self.time[0]:
+                out.append(F.col(self.time[1]).alias(c))
+            else:
+                out.append(F.col(c))
+        return df.select(*out)
+
+
+def suggest(field: str, rules: list[tuple[set[str], set[str], list[str]]], valid: set[str], catch_all: str = "unmapped") -> str:
+    """The first path of the first rule (any of, all groups also any of, paths) that a field's words meet and the class has.
+
+    Words are the parts between other characters and between lower and upper case. The result depends on
+    the name alone, so the same field is mapped alike in every source.
+    """
+    import re
+
+    words = {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", field)} | {field.lower()}
+    for some, also, paths in rules:
+        if words & some and (not also or words & also):
+            for p in paths:
+                if p in valid:
+                    return p
+    return catch_all
+
+
+def probes(emitted: DataFrame, expectations: DataFrame, key: str) -> DataFrame:
+    """Failure classes: (probe, records, lost). expectations has (key, probe, path, wanted); wanted null asks for any value.
+
+    A value is compared as its JSON text; a record that was not emitted has lost all. Paths are taken from
+    the record as JSON, so one plan serves all probes.
+    """
+    out = emitted.select(F.col(key), F.to_json(F.struct(*emitted.columns)).alias("_record"))
+    both = expectations.join(out, key, "left")
+    value = F.expr("get_json_object(_record, concat('$.', path))")
+    kept = F.when(F.col("wanted").isNull(), value.isNotNull()).otherwise(F.coalesce(value == F.col("wanted"), F.lit(False)))
+    return both.groupBy("probe").agg(F.count(F.lit(1)).alias("records"), F.count_if(~kept).alias("lost"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.expressions import ipv4, morton
-from siftlake.operators import components, graph, layout, mapping, panels, sigma
+from siftlake.operators import components, graph, layout, mapping, panels, payloads, scoring, sigma, triples, workload
+from siftlake.sources import formats
 from siftlake.sources.logtable import LogTable
 from siftlake.sources.scratch import scratch
 from siftlake.sources.tables import run_sql, scan
@@ -312,3 +313,115 @@ SELECT quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_dis
 def percentiles(spark, sf_dir):
     d = scan(spark, sf_dir, "orders").select(F.expr("CAST(round(o_totalprice * 100) AS BIGINT)").alias("v"))
     return d.agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY v)").alias(f"p{p}") for p in (50, 95, 99)]).select(*[F.col(f"p{p}").cast("long").alias(f"p{p}") for p in (50, 95, 99)])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus NOT IN ('F')")
+def format_json_drop_filter(spark, sf_dir):
+    """Orders as line JSON, lines of one state dropped on the way in, the rest read back."""
+    source, kept = scratch(spark, "lines"), scratch(spark, "kept")
+    formats.write_json(scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), source)
+    formats.drop_lines(spark, source, kept, "o_orderstatus", ["F"])
+    return formats.read_json(spark, kept, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part")
+def format_csv_round_trip(spark, sf_dir):
+    path = scratch(spark, "csv")
+    formats.write_csv(scan(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), path)
+    return formats.read_csv(spark, path, "p_partkey long, p_name string, p_brand string, p_type string")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (7, 77, 777, 1000000007)")
+def format_bloom_needles(spark, sf_dir):
+    """Needles in shuffled files with Bloom filters on the key: pruning must lose none."""
+    path = scratch(spark, "bloom")
+    formats.write_parquet(scan(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, bloom=["o_orderkey"], files=16)
+    return spark.read.schema("o_orderkey long, o_custkey long").parquet(path).filter("o_orderkey IN (7, 77, 777, 1000000007)")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def format_encrypted_round_trip(spark, sf_dir):
+    path, keys = scratch(spark, "encrypted"), {"footer": b"0123456789012345", "names": b"5432109876543210"}
+    formats.write_encrypted(scan(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, keys, "footer", {"names": ["c_name"]}).write.format("noop").mode("overwrite").save()
+    return formats.read_encrypted(spark, path, "c_custkey long, c_name string, c_mktsegment string", keys)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def payload_dictionary_round_trip(spark, sf_dir):
+    """Orders as payloads of single rows, packed and unpacked with a trained dictionary."""
+    rows = payloads.payload(scan(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    held = payloads.train(rows)
+    back = payloads.expanded(payloads.compressed(rows, dictionary=held), dictionary=held)
+    text = F.col("payload").cast("string")
+    return back.select(F.get_json_object(text, "$.o_orderkey").cast("long").alias("o_orderkey"), F.get_json_object(text, "$.o_orderstatus").alias("o_orderstatus"))
+
+
+@query("WITH {store} SELECT DISTINCT event_uid AS e FROM api WHERE api_operation = 'AttachUserPolicy' AND mfa_present = false")
+def triples_policy_without_mfa(spark, sf_dir):
+    api = triples.ClassMap(run_sql(spark, sf_dir, both("WITH {store} SELECT * FROM api")[0]), "api/{event_uid}", {"operation": "api_operation", "mfaPresent": "mfa_present", "eventUid": "event_uid"})
+    return triples.select({"ApiEvent": api}, 'SELECT ?e WHERE { ?x a :ApiEvent ; :operation "AttachUserPolicy" ; :mfaPresent ?m ; :eventUid ?e . FILTER(?m = false) }')
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders)
+SELECT 0 AS stage, r_name AS source, n_name AS target, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, n_name
+UNION ALL SELECT 1, n_name, c_mktsegment, count(DISTINCT c_custkey) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment
+UNION ALL SELECT 2, c_mktsegment, o_orderstatus, count(*) FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderstatus""")
+def graph_stages(spark, sf_dir):
+    region, nation, customer, orders = (scan(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    steps = [
+        nation.select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")),
+        customer.select(F.col("c_nationkey").alias("src"), F.col("c_custkey").alias("dst")),
+        orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")),
+    ]
+    names = [
+        region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("grp")), nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("grp")),
+        customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp")), orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("grp")),
+    ]
+    return graph.stages(steps, names)
+
+
+ROUTES = [
+    ("remote", "dst_port IN (22, 3389)", ["src_ip", "dst_ip"]), ("names", "proto = 'udp' AND dst_port = 53", ["src_ip", "query"]), ("web", "dst_port IN (80, 443) AND activity <> 'error'", ["src_ip", "bytes_out"]),
+]
+
+
+@query("""WITH {soc} SELECT uid, CASE WHEN dst_port IN (22, 3389) THEN 'remote' WHEN proto = 'udp' AND dst_port = 53 THEN 'names' ELSE 'web' END AS route
+FROM soc WHERE dst_port IN (22, 3389) OR (proto = 'udp' AND dst_port = 53) OR (dst_port IN (80, 443) AND activity <> 'error')""")
+def mapping_routes(spark, sf_dir):
+    return mapping.routed(soc(spark, sf_dir), ROUTES).select("uid", "route")
+
+
+@query("""WITH {soc} SELECT uid, left(src_ip, 6) AS src_ip, CAST(NULL AS STRING) AS proto, dst_ip, time + 1000 AS time, time + 1000 AS ingested
+FROM soc WHERE dst_ip IN (SELECT dst_ip FROM soc GROUP BY dst_ip HAVING count(*) >= 50)""")
+def mapping_coarse_store(spark, sf_dir):
+    rows = soc(spark, sf_dir).select("uid", "src_ip", "proto", "dst_ip", "time", (F.col("time") + 1000).alias("ingested"))
+    return mapping.Coarse((("src_ip", 6),), ("proto",), ("dst_ip", 50), ("time", "ingested")).apply(rows)
+
+
+@query("""WITH {soc}, f AS (SELECT uid FROM soc WHERE bytes_out > 9000 OR dst_port = 22), t AS (SELECT uid FROM soc WHERE bytes_out > 8000),
+n AS (SELECT count(*) FILTER (WHERE f.uid IS NOT NULL AND t.uid IS NOT NULL) AS tp, count(*) FILTER (WHERE t.uid IS NULL) AS fp, count(*) FILTER (WHERE f.uid IS NULL) AS fn FROM f FULL JOIN t ON f.uid = t.uid)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM n""")
+def score_sets(spark, sf_dir):
+    rows = soc(spark, sf_dir)
+    got = scoring.set_scores(rows.filter("bytes_out > 9000 OR dst_port = 22"), rows.filter("bytes_out > 8000"), "uid")
+    return got.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("WITH {soc} SELECT dst_port, count(bytes_out) AS n, round(avg(bytes_out), 2) AS mean, round(stddev_samp(bytes_out), 2) AS sd, min(bytes_out) AS least, max(bytes_out) AS most FROM soc GROUP BY dst_port")
+def score_bands(spark, sf_dir):
+    got = scoring.bands(soc(spark, sf_dir), ["dst_port"], "bytes_out")
+    return got.select("dst_port", "n", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"), "least", "most")
+
+
+@query()
+def load_under_schedule(spark, sf_dir):
+    """Latencies of the scheduled load and of the probe beside it, measured from when each query was due."""
+    from .questions import LOAD
+
+    def shape(name):
+        return lambda chance: run_sql(spark, sf_dir, both(LOAD[name])[0])
+
+    names = [n for n in LOAD if n != "load_probe"]
+    due = workload.schedule(names, 3.0, 1, 1.0)
+    asked = {n: shape(n) for n in names} | {"probe": lambda chance: shape("load_probe")(chance).filter(F.col("conns") >= chance.choice([0, 1]))}
+    return workload.latencies(workload.drive(spark, due, asked))
