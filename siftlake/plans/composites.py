@@ -274,6 +274,26 @@ def stream_drop_filter(spark, sf_dir):
     return spark.read.schema("event_id long, event_type string").parquet(out)
 
 
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+def stream_commits(spark, sf_dir):
+    """A stream whose batches are versions of a log table; the second run finds nothing to add."""
+    path, schema = _event_files(spark, sf_dir)
+    table = LogTable(spark, scratch(spark, "committed"))
+    for _ in range(2):
+        streams.commits(streams.file_stream(spark, path, schema), scratch(spark, "ckpt"), table, "events")
+    return table.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""WITH w AS (SELECT h.h - k.k AS start_hour, e.event_type FROM (SELECT epoch_us(ts) // 3600000000 AS h, event_type FROM events) e
+JOIN (SELECT DISTINCT epoch_us(ts) // 3600000000 AS h FROM events) h ON h.h = e.h, (VALUES (0), (1), (2)) k(k))
+SELECT start_hour, event_type, count(*) AS n FROM w GROUP BY start_hour, event_type""")
+def window_sliding_hours(spark, sf_dir):
+    """Windows of three hours that start every hour."""
+    win = F.window(F.col("ts").cast("timestamp"), "3 hours", "1 hour")
+    out = scan(spark, sf_dir, "events").groupBy(win.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return out.select((F.unix_seconds("w.start") / 3600).cast("long").alias("start_hour"), "event_type", "n")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_panel(spark, sf_dir):
     """A panel in streaming state; every batch publishes what changed, the last publication counts."""

@@ -12,12 +12,16 @@ SPARK = {
     "j": "CAST(get_json_object(props, '$.k') AS BIGINT)",
     # The coarse store's bucket rounds half to even; a plain cast would cut.
     "half_even": "CAST(bround(time / 300000.0) AS BIGINT) * 300000",
+    "sorted_ports": "array_join(array_sort(collect_set(dst_port)), ',')",
+    "ordered_lines": "listagg(line, '|') WITHIN GROUP (ORDER BY line)",
 }
 DUCK = {
     "ms": "epoch_us(ts) // 1000",
     "div": "//",
     "j": "CAST(json_extract_string(props, '$.k') AS BIGINT)",
     "half_even": "CAST(CAST(time AS DOUBLE) / 300000 AS BIGINT) * 300000",
+    "sorted_ports": "array_to_string(list_sort(list(DISTINCT dst_port)), ',')",
+    "ordered_lines": "string_agg(line, '|' ORDER BY line)",
 }
 
 #: The event table as the security operators see it: a flat network and authentication log.

@@ -83,4 +83,9 @@ PACK = {
     "fn_ipv4": "WITH {soc}, n AS (SELECT uid, CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(src_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(src_ip, '.', 4) AS BIGINT) AS ip FROM soc) SELECT uid, ip, ip - ip % 256 AS subnet FROM n",
     "fn_json": "WITH {soc} SELECT uid, k FROM soc WHERE k > 90",
     "fn_year": "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS BIGINT)",
+    "fn_regex": "SELECT p_partkey, regexp_extract(p_brand, '[0-9]+', 0) AS digits, p_type LIKE '%a%' AS has_a FROM part",
+    "fn_casts": "SELECT p_partkey, CAST(p_size AS STRING) AS s, TRY_CAST(p_name AS BIGINT) AS i, CAST(NULL AS INT) AS none FROM part",
+    "fn_days": "WITH {soc} SELECT uid, round(time / 86400000.0, 6) AS day FROM soc",
+    "agg_sorted_sets": "WITH {soc} SELECT user_id, {sorted_ports} AS ports, bool_or(status_id = 2) AS failed FROM soc GROUP BY user_id",
+    "agg_ordered_digest": "WITH {soc}, lines AS (SELECT tenant_id, concat(CAST(uid AS STRING), ':', activity) AS line FROM soc) SELECT tenant_id, md5({ordered_lines}) AS digest FROM lines GROUP BY tenant_id",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlake.operators.panels import Panel
+from siftlake.sources.logtable import LogTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -24,6 +25,25 @@ def each_batch(stream: DataFrame, checkpoint: str, do: Callable[[DataFrame, int]
     stream.writeStream.outputMode(mode).foreachBatch(do).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def commits(stream: DataFrame, checkpoint: str, table: LogTable, name: str) -> list[dict]:
+    """Appends every batch to a log table as one version; (batch, version, rows visible, seconds) of each, in order.
+
+    A batch that runs again after a failure is not added twice: the table knows the last batch of each stream.
+    """
+    import time as clock
+
+    done = []
+
+    def add(df: DataFrame, batch: int) -> None:
+        began = clock.perf_counter()
+        version = table.append(df, (name, batch))
+        took = clock.perf_counter() - began
+        done.append({"batch": batch, "version": version, "visible": table.read(version).count(), "seconds": took})
+
+    each_batch(stream, checkpoint, add)
+    return done
+
+
 def event_time(df: DataFrame, column: str) -> DataFrame:
     """A watermark needs a timestamp with a zone; naive times count as the session's (UTC)."""
     return df.withColumn(column, F.col(column).cast("timestamp"))

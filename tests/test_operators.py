@@ -93,6 +93,45 @@ def test_log_table_commits_conflicts_and_compacts(spark, tmp_path):
     assert t.expire(1) > 0 and t.read().count() == 82
 
 
+def test_inlined_rows_are_deleted_and_survive_a_racing_compaction(spark, tmp_path):
+    t = LogTable(spark, f"file://{tmp_path}/inline", inline_rows=5)
+    t.append(spark.range(3))
+    t.delete(F.col("id") == 1)
+    assert sorted(r.id for r in t.read().collect()) == [0, 2] and len(t.snapshot().inline) == 2
+    write = t._write
+
+    def late(df):
+        files = write(df)
+        LogTable(spark, t.path, inline_rows=5).append(spark.range(10, 12))
+        return files
+
+    t._write = late
+    t.compact(1, ["id"])
+    assert sorted(r.id for r in t.read().collect()) == [0, 2, 10, 11] and len(t.snapshot().inline) == 2
+    t._write = write
+    seen = t.snapshot()
+    t.delete(F.col("id") == 10)
+    with pytest.raises(Conflict):
+        t.delete(F.col("id") == 11, at=seen)
+    assert sorted(r.id for r in t.read().collect()) == [0, 2, 11]
+    assert t.statistics()["files"] == 1 and t.statistics()["inlined"] == 1
+
+
+def test_a_batch_is_added_once_and_writers_contend(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = LogTable(spark, f"file://{tmp_path}/once")
+    for batch in (0, 1, 1, 0):
+        t.append(spark.range(10), ("s", batch))
+    assert t.read().count() == 20
+    t.expire(1)
+    t.append(spark.range(10), ("s", 1))
+    assert t.read().count() == 20
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda k: LogTable(spark, t.path, retries=50).append(spark.range(k, k + 1)), range(100, 112)))
+    assert len(set(versions)) == 12 and t.read().count() == 32
+
+
 def test_pruning_is_conservative(spark, tmp_path):
     spark.range(0, 4000).repartitionByRange(8, "id").write.parquet(f"{tmp_path}/p")
     stats = layout.row_groups(spark, f"{tmp_path}/p", ["id"])
