@@ -10,6 +10,11 @@ sends a spanning forest, never all pairs. The forests' components are the groups
 
 The tables are either exact (each pair within the threshold agrees in some `agree` of `blocks` blocks,
 as there are more blocks than differing bits) or `sampled` sets of bits, whose recall is documented.
+
+A plan with a `similarity` takes these groups as candidates only: within each, rows are linked when the
+Jaccard similarity of their whole texts' shingle sets reaches it, and the components of these links are
+the groups. All pairs of a group are open to the test, those that share a fingerprint, too; rows that are
+linked already are not compared again, so a group of near copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -36,11 +41,16 @@ SPLIT = 20_000
 SMALL = 48
 #: Shingles hashed at once.
 CHUNK = 1 << 16
+#: Shingles that one task compares together, about; larger groups of candidates are split into tiles.
+SET_TILE = 1 << 19
 
 
 @dataclass(frozen=True)
 class Plan:
-    """shingle: words; bits: threshold; lanes: 64-bit words of a fingerprint; tables by blocks or by sampling."""
+    """shingle: words; bits: threshold; lanes: 64-bit words of a fingerprint; tables by blocks or by sampling.
+
+    similarity: least Jaccard similarity of linked rows' shingle sets; None: the bits decide.
+    """
 
     shingle: int = 4
     bits: int = 4
@@ -50,6 +60,7 @@ class Plan:
     sampled_bits: int = 16
     pivots: int = 24
     seed: int = 42
+    similarity: float | None = None
 
     def tables(self) -> list[tuple[int, ...]]:
         """For each table, a mask for each lane."""
@@ -75,7 +86,7 @@ EXACT = Plan()
 #: For near copies of word 5-shingles at a similarity of 0.8: 256 bits. Shingle sets of Jaccard 0.8 have
 #: a cosine of 0.89 or an angle of 0.15 half turns, 39 bits; 48 leaves 1.6 standard deviations. 40 tables
 #: of 16 bits bring a pair at 39 bits together with a probability of 0.95, nearer pairs with more.
-NEAR = Plan(shingle=5, bits=48, lanes=4, sampled=40)
+NEAR = Plan(shingle=5, bits=48, lanes=4, sampled=40, similarity=0.8)
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -88,21 +99,32 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str, plan: Plan = EXACT) -> list[int]:
-    """The lanes of a text's fingerprint; no words: zeros. A-Z are lower-cased, white space is ASCII."""
+def _hashes(text: str, k: int):
+    """Arrays of the hashes of a text's shingles, in order. A-Z are lower-cased, white space is ASCII."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII alone
-    k = plan.shingle
     if not words:
-        return [0] * plan.lanes
+        return
     if len(words) < k:
         words, k = [b" ".join(words)], 1
     total = len(words) - k + 1
-    ones = np.zeros((plan.lanes, 64), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, CHUNK):
         part = words[at: min(at + CHUNK, total) + k - 1]
         grams = map(b" ".join, zip(*[part[i:] for i in range(k)]))
-        h = np.fromiter((digest(g, 42) for g in grams), dtype=np.uint64, count=len(part) - k + 1)
+        yield np.fromiter((digest(g, 42) for g in grams), dtype=np.uint64, count=len(part) - k + 1)
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The hashes of all shingles of the text, each once; no words: none."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashes(text, k)]))
+
+
+def fingerprint(text: str, plan: Plan = EXACT) -> list[int]:
+    """The lanes of a text's fingerprint; no words: zeros."""
+    total = 0
+    ones = np.zeros((plan.lanes, 64), dtype=np.int64)
+    for h in _hashes(text, plan.shingle):
+        total += len(h)
         for lane in range(plan.lanes):
             bits = np.unpackbits(_mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[lane] += bits.sum(axis=0, dtype=np.int64)
@@ -249,13 +271,92 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long")
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a spanning forest of the links between sets at that Jaccard similarity; each pair is a link."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    names, flat = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *[sets[i] for i in order]]), return_inverse=True)
+    ends = np.cumsum(sizes[order])
+    begins = ends - sizes[order]
+    alive = np.arange(len(sets))  # places in the order of sizes that no link reaches so far
+    mine = np.zeros(len(names), dtype=bool)
+    out: list[tuple[int, int]] = []
+    while len(alive):
+        reach, alive = [int(alive[0])], alive[1:]
+        while reach and len(alive):
+            x = reach.pop()
+            n = int(ends[x] - begins[x])
+            # A set of a size beyond these bounds cannot be similar enough.
+            there = sizes[order[alive]]
+            lo, hi = np.searchsorted(there, n * similarity - 1e-9, "left"), np.searchsorted(there, n / similarity + 1e-9, "right")
+            near = alive[lo:hi]
+            if not len(near):
+                continue
+            mine[flat[begins[x]: ends[x]]] = True
+            spans = [mine[flat[begins[y]: ends[y]]] for y in near.tolist()]
+            mine[flat[begins[x]: ends[x]]] = False
+            common = np.fromiter(map(np.count_nonzero, spans), dtype=np.int64, count=len(near))
+            hit = np.flatnonzero(common >= similarity * (n + there[lo:hi] - common) - 1e-9)
+            if len(hit):
+                out += [(int(order[y]), int(order[x])) for y in near[hit].tolist()]
+                reach += near[hit].tolist()
+                alive = np.delete(alive, lo + hit)
+    return out
+
+
+def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
+    """Edges (u, v) of items that are similar enough; candidates: item, root (of its group of candidates), text."""
+    small_batches(candidates.sparkSession)
+
+    def read(batches):
+        for b in batches:
+            sets = [shingle_set(t, plan.shingle) for t in b.column("text").to_pylist()]
+            held = pa.array([s.tobytes() for s in sets], pa.binary())
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("root"), size, held], names=["item", "root", "size", "shingles"])
+
+    sets = settle(candidates.select("item", "root", "text").mapInArrow(read, "item long, root long, size long, shingles binary"), "near-sets")
+    load = F.sum(F.col("size") + 64)  # a row has its own cost
+    groups = settle(sets.groupBy("root").agg(load.alias("load"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-loads")
+    rows = groups.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    tile = max(SET_TILE, -(-rows // SPLIT))
+    large = groups.filter(F.col("load") > tile).select("root", F.ceil(F.col("load") / tile).cast("int").alias("parts"))
+    # At most rows / tile <= SPLIT groups are that large.
+    dealt = sets.join(F.broadcast(large), "root", "left")
+    part = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")
+    tiles = F.when(F.col("parts").isNull(), F.array(F.xxhash64("root"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("root", F.least(part, j), F.greatest(part, j)))
+    )
+    dealt = dealt.select("item", "shingles", F.explode(tiles).alias("tile"))
+    sorted_ = dealt.repartition("tile").sortWithinPartitions("tile")
+
+    def run(batches):
+        key, items, held = None, [], []
+        for b in batches:
+            for t, i, s in zip(b.column("tile").to_pylist(), b.column("item").to_pylist(), b.column("shingles")):
+                if t != key:
+                    yield from edges(items, held)
+                    key, items, held = t, [], []
+                items.append(i)
+                held.append(np.frombuffer(s.as_py(), dtype=np.uint64))
+        yield from edges(items, held)
+
+    def edges(items, held):
+        out = alike(held, plan.similarity) if len(items) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([items[x] for x, _ in out], pa.int64()), pa.array([items[y] for _, y in out], pa.int64())], names=["u", "v"])
+
+    return sorted_.mapInArrow(run, "u long, v long")
+
+
 def near_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, fingerprint (hex), component_id (least id of its group),
     group_key (of the group itself, should ids repeat), file, row.
 
     Null texts are empty; texts without words share the fingerprint zero and are linked like any
     other. Null ids are greater than all others. Rows that repeat are in one group. An empty table
-    gives no row. Other columns are not read.
+    gives no row. Other columns are not read. Under a plan with a similarity, rows of one fingerprint
+    may be in different groups.
     """
     return _groups(located(docs, "near-docs"), plan, id_col, text_col)
 
@@ -263,15 +364,23 @@ def near_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", tex
 def _groups(spots: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
     lanes, field = [f"f{i}" for i in range(plan.lanes)], F.col("doc").getField
     texts = spots.select(field(id_col).alias("doc_id"), "file", "row", text_of(field(text_col)).alias("text"))
-    rows = settle(fingerprints(texts, plan), "fingerprints")
-    nodes = settle(
-        rows.groupBy(*lanes).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "near-nodes"
-    )
+    rows = settle(fingerprints(texts, plan).withColumn("item", F.monotonically_increasing_id()), "fingerprints")
+    counted = rows.groupBy(*lanes).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = settle(counted.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     groups = components(links(nodes, plan))
+    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col(c)), 16, "0") for c in reversed(lanes)]))
+    if plan.similarity is not None:
+        groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())  # roots are not among the nodes
+        held = nodes.join(groups, "node", "left").filter("root IS NOT NULL OR n > 1").select(*lanes, F.coalesce("root", "node").alias("root"))
+        spotted = rows.join(held, lanes).select("item", "root", "file", "row")
+        found = components(_confirmed(texts.drop("doc_id").join(spotted, ["file", "row"]), plan))
+        named = rows.join(found.withColumnRenamed("node", "item"), "item", "left").withColumn("group_key", F.coalesce("root", "item"))
+        named = settle(named.select("doc_id", hexed.alias("fingerprint"), "group_key", "file", "row"), "near-named")
+        ids = settle(named.groupBy("group_key").agg(F.min("doc_id").alias("component_id")), "near-ids")
+        return named.join(ids, "group_key").select("doc_id", "fingerprint", "component_id", "group_key", "file", "row")
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = settle(named.groupBy("root").agg(F.min("least").alias("component_id")), "near-ids")  # so a hot group's join can be split
     by_print = settle(named.join(ids, "root").select(*lanes, "component_id", F.col("root").alias("group_key")), "near-components")
-    hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col(c)), 16, "0") for c in reversed(lanes)]))
     return rows.join(by_print, lanes).select("doc_id", hexed.alias("fingerprint"), "component_id", "group_key", "file", "row")
 
 

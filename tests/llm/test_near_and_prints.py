@@ -96,6 +96,67 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert [got[i] for i in range(120)] == brute(prints, list(range(120)), 4)
 
 
+def near_corpus():
+    """Texts with edits that leave Jaccard similarities of 0.5 to 0.99, some of which the 48 bits do not tell apart."""
+    rnd, texts = random.Random(12), [None, "", "one two", "One  TWO", "one three"]
+    for _ in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 7, 9, 12):
+            copy = list(base)
+            for i in rnd.sample(range(200), edits):
+                copy[i] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(copy))
+    line = "the same line comes again "
+    return texts + [line * 400 + " ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i: i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def joined(sets):
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("tile", [simhash.SET_TILE, 300])
+def test_near_copies_equal_brute_force_on_shingle_sets(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    texts = near_corpus()
+    want = joined([shingled(t) for t in texts])
+    prints = [simhash.fingerprint(t or "", simhash.NEAR) for t in texts]
+    assert brute(prints, list(range(len(texts))), 48) != want and prints[-1] == prints[-2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, simhash.NEAR).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(set(want))
+
+
+def test_alike_links_only_similar_sets_and_loses_none():
+    sets = [simhash.shingle_set(t or "", 5) for t in near_corpus()]
+    edges = simhash.alike(sets, 0.8)
+    assert all(similar(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in edges)
+    want = joined([set(s.tolist()) for s in sets])
+    assert len(edges) == len(sets) - len(set(want)) and all(want[a] == want[b] for a, b in edges)
+
+
 def test_tables_are_exact():
     rnd = random.Random(9)
     for _ in range(300):
