@@ -106,8 +106,8 @@ def entity_resolution(spark, sf_dir):
 TRUST = {"exact": 1.0, "curated": 0.9, "derived": 0.6, "inferred": 0.25}
 
 
-def concept_graph(spark, sf_dir):
-    """Regions, nations and market segments as concepts; trust by the kind of edge."""
+def concept_graph(spark, sf_dir, buyers="true"):
+    """Regions, nations and market segments as concepts; trust by the kind of edge. buyers: whose edges count."""
     nation, region, customer = (scan(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     nodes = graph.merge_nodes([
         region.select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.lit("region").alias("ntype"), F.col("r_name").alias("label")),
@@ -115,7 +115,7 @@ def concept_graph(spark, sf_dir):
         customer.select(F.concat(F.lit("s:"), "c_mktsegment").alias("id"), F.lit("segment").alias("ntype"), F.col("c_mktsegment").alias("label")).distinct(),
     ])
     up = nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("src"), F.concat(F.lit("r:"), "n_regionkey").alias("dst"), F.lit("subClassOf").alias("rel"), F.lit("exact").alias("trust_class"))
-    buys = customer.filter("c_acctbal > 9000").select(
+    buys = customer.filter(buyers).select(
         F.concat(F.lit("n:"), "c_nationkey").alias("src"), F.concat(F.lit("s:"), "c_mktsegment").alias("dst"), F.lit("buysIn").alias("rel"),
         F.when(F.col("c_custkey") % 3 == 0, "inferred").when(F.col("c_custkey") % 3 == 1, "derived").otherwise("unheard").alias("trust_class"),
     )
@@ -131,7 +131,8 @@ def graph_descendants(spark, sf_dir):
 CAST(CASE WHEN c_custkey % 3 = 0 THEN 0.25 WHEN c_custkey % 3 = 1 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS trust
 FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0""")
 def graph_neighbours(spark, sf_dir):
-    return graph.neighbours(concept_graph(spark, sf_dir)[1], "s:BUILDING", "both", "buys", 0.3)
+    """Of the customers that the SQL names."""
+    return graph.neighbours(concept_graph(spark, sf_dir, "c_acctbal > 9000")[1], "s:BUILDING", "both", "buys", 0.3)
 
 
 @query()

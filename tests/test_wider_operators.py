@@ -134,3 +134,16 @@ def test_set_scores_and_bands_of_little(spark):
     xs = [rng.random() for _ in range(50)]
     b = scoring.bands(spark.createDataFrame([("a", x) for x in xs] + [("b", 1.0)], "g string, v double"), ["g"], "v").orderBy("g").collect()
     assert abs(b[0]["mean"] - sum(xs) / 50) < 1e-9 and b[0]["low"] < b[0]["mean"] < b[0]["high"] and (b[1]["low"], b[1]["high"]) == (1.0, 1.0)
+
+
+def test_concept_graph_and_paths_take_every_customer(spark):
+    from siftlake.plans import composites
+
+    sf_dir = "/root/testdata/sf0.001"
+    kind = F.when(F.col("c_custkey") % 3 == 0, 0.25).when(F.col("c_custkey") % 3 == 1, 0.6).otherwise(0.3)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    want = customer.select(F.concat(F.lit("n:"), "c_nationkey"), F.concat(F.lit("s:"), "c_mktsegment"), kind).distinct().collect()
+    edges = composites.concept_graph(spark, sf_dir)[1].filter("rel = 'buysIn'").select("src", "dst", "trust").distinct().collect()
+    assert {tuple(r) for r in edges} == {tuple(r) for r in want}
+    # Eight paths of the best trust that two purchases can have, at the least length: more hops cannot replace them.
+    assert [(r.trust, r.length, r.complete) for r in composites.graph_paths(spark, sf_dir).collect()] == [(0.6, 4, True)] * 8
