@@ -14,18 +14,21 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this run that driver and executors all reach.
+    """A folder of this run that driver and executors all reach; it is deleted when the process ends.
 
-    It lies below ``spark.checkpoint.dir``. Where that is unset, a cluster gets a folder below the
-    warehouse, which is shared as well, and a local master (tests) a temporary folder. The folder is
-    deleted when the process ends.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a temporary
+    folder; a cluster gets one below the warehouse if that names a store that is not the machine's own.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _ROOTS:
         base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and (sc.master.startswith("local[") or sc.master == "local"):
+            base = tempfile.mkdtemp(prefix="siftlake-")
         if not base:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            base = tempfile.mkdtemp(prefix="siftlake-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            base = spark.conf.get("spark.sql.warehouse.dir")
+            scheme = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+            if scheme == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{base.rstrip('/')}/siftlake-{uuid.uuid4().hex}"
         _ROOTS[sc.applicationId] = root
         atexit.register(_remove, spark, root)
@@ -61,11 +64,13 @@ def column(df: DataFrame, name: str) -> Column:
 def located(df: DataFrame, name: str) -> DataFrame:
     """df as (doc: struct of all its columns, file: string, row: long), a lasting locator per row.
 
-    Files that Spark scans have one already; any other frame is written to the shared folder first.
+    Files that Spark scans have one already, also where a column of theirs is named _metadata; any other
+    frame is written to the shared folder first.
     """
     def scan(d: DataFrame) -> DataFrame:
-        cols = F.struct(*[column(d, c) for c in d.columns]).alias("doc")
-        return d.select(cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        cols = F.struct(*[column(d, c).alias(c) for c in d.columns]).alias("doc")
+        place = d.metadataColumn("_metadata")
+        return d.select(cols, place.getField("file_path").alias("file"), place.getField("row_index").alias("row"))
 
     try:
         out = scan(df)
@@ -75,6 +80,58 @@ def located(df: DataFrame, name: str) -> DataFrame:
         return scan(settle(df, name))
 
 
+#: Rows that one cell of a bitmap stands for (a fixed value of Spark's bitmap functions), cells that are broadcast at once.
+CELL, CELLS_AT_ONCE = 32768, 8192
+
+
+def picked(spots: DataFrame, wanted: DataFrame, inside: bool = True, cells_at_once: int = CELLS_AT_ONCE) -> DataFrame:
+    """Rows of spots (doc, file, row) whose locator is among wanted's (or is not); spots are not shuffled.
+
+    wanted's locators become bitmaps, 4 KB for 32,768 rows of a file, which the scan looks at. At most
+    cells_at_once bitmaps (32 MB) are broadcast together: where there are more, ranges of files, and of
+    rows within a file, are scanned one after the other, each with its own bitmaps.
+    """
+    spark = spots.sparkSession
+    cells = wanted.groupBy("file", F.expr(f"row div {CELL}").alias("cell")).agg(F.bitmap_construct_agg(F.expr(f"row % {CELL}")).alias("bits"))
+    cells = settle(cells, "bitmaps")
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(pos div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(pos % 8 AS INT))")) != 0, F.lit(False))
+
+    def held(part: DataFrame, own: DataFrame) -> DataFrame:
+        asked = part.withColumn("cell", F.expr(f"row div {CELL}")).join(F.broadcast(own), ["file", "cell"], "left")
+        asked = asked.withColumn("pos", F.expr(f"row % {CELL}"))
+        return asked.filter(bit if inside else ~bit).select("doc", "file", "row")
+
+    if cells.count() <= cells_at_once:
+        return held(spots, cells)
+    sizes = sorted((r.file, r.top) for r in cells.groupBy("file").agg(F.max("cell").alias("top")).collect())  # a row per file
+    parts, low, room = [], (None, None), cells_at_once
+
+    def within(frame: DataFrame, at, high) -> DataFrame:
+        if low[0] is not None:
+            frame = frame.filter(F.col("file") >= low[0]).filter((F.col("file") > low[0]) | (at >= low[1]))
+        if high is not None:
+            frame = frame.filter(F.col("file") <= high[0]).filter((F.col("file") < high[0]) | (at < high[1]))
+        return frame
+
+    def cut(high) -> None:
+        nonlocal low, room
+        parts.append(held(within(spots, F.expr(f"row div {CELL}"), high), within(cells, F.col("cell"), high)))
+        low, room = high, cells_at_once
+
+    for file, top in sizes:
+        at = 0
+        while top + 1 - at > room:
+            at += room
+            cut((file, at))
+        room -= top + 1 - at
+    cut(None)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def text_of(col: Column) -> Column:
     """The text, a missing one as the empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))
@@ -92,8 +149,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Holds Arrow batches to a few rows where the session has the default: texts may be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(rows))
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to a few rows each: texts may be long, and Python's copies of them are larger."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that settle() wrote and that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _remove(t.sparkSession, path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, settle, small_batches, text_of
+from .common import column, settle, slices, text_of
 from .tokens import default_vocabulary, encoder
 
 #: Ids of a sequence, open windows of a partition, partitions whose leftovers are merged together.
@@ -113,7 +113,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, o
     row. keep_ids adds the ids themselves (little-endian unsigned 32-bit integers).
     """
     vocabulary = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
     narrow = docs.select(column(docs, id_col).alias("doc"), text_of(column(docs, text_col)).alias("text"))
     kind = narrow.schema["doc"].dataType
     schema = T.StructType([
@@ -142,7 +141,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, o
                 at += n
 
         packer = Packer(done, length, open_windows)
-        for b in batches:
+        for b in slices(batches):
             doc_type = b.column("doc").type
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
                 packer.document(doc, enc.ids(text) + b"\0\0\0\0")

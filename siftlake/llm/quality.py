@@ -15,6 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .labelled import sample, sigmoid
 from .toxicity import classified
 
@@ -246,14 +247,12 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: s
     """docs without the rows that score below the threshold; columns as they were. A map without a shuffle."""
     import pyarrow as pa
 
-    from .common import small_batches
 
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         pooler = Pooler(shared.value.vectors)
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 s = shared.value.scores([str(t) if t is not None else "" for t in b.column(at).to_pylist()], pooler)
                 yield b.filter(pa.array(s >= threshold))

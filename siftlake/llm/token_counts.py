@@ -1,8 +1,9 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
-Tier 1 is a table of the lengths of frequent pre-tokens, learnt from a bounded sample of texts and
-broadcast (at most TABLE entries). What it lacks is encoded by the library and kept in a bounded cache
-of the worker (tier 2). The sample decides only how often tier 2 is asked, never a count.
+Tier 1 is a table of the lengths of frequent pre-tokens, learnt from whole texts that a hash picks from
+all rows of the table, and broadcast (at most TABLE entries). What it lacks is encoded by the library and
+kept in a bounded cache of the worker (tier 2). The sample decides only how often tier 2 is asked, never
+a count. Sampled texts are counted in tasks, each of which sends one bounded summary.
 """
 
 from __future__ import annotations
@@ -14,23 +15,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, small_batches, text_of
+from .common import column, located, settle, slices, text_of
 from .tokens import LONGEST, REMEMBERED, Encoder, default_vocabulary, encoder
 
-#: Texts of the sample (whole ones), characters that such a text has at most, and entries of tier 1.
-SAMPLE, SAMPLE_CHARS, TABLE = 1000, 40_000, 32_768
+#: Texts of the sample, tasks that count them, entries of a task's summary and of tier 1.
+SAMPLE, TASKS, TABLE = 1000, 8, 32_768
 _LENGTHS: dict[str, dict[str, int]] = {}
 
 
+def sampled_texts(docs: DataFrame, text_col: str, rows: int = SAMPLE) -> DataFrame:
+    """(text) of the rows with the least hashes of their locators. Only locators are read to find them, then only their files."""
+    spots = located(docs, "count-docs")
+    at = spots.select(F.xxhash64(F.lit(5), "file", "row").alias("h"), "file", "row").orderBy("h", "file", "row").limit(rows)
+    picked = settle(at, "count-sample")
+    files = [r.file for r in picked.select("file").distinct().collect()]  # at most `rows`
+    there = spots.filter(F.col("file").isin(files))
+    found = there.join(F.broadcast(picked), ["file", "row"])  # at most `rows`
+    return found.select(text_of(F.col("doc").getField(text_col)).alias("text"))
+
+
 def frequent_lengths(docs: DataFrame, text_col: str, vocabulary: str) -> dict[str, int]:
     """Tier 1: pre-token -> number of tokens."""
-    enc, seen = Encoder(vocabulary), Counter()
-    texts = docs.select(text_of(column(docs, text_col)).alias("text")).filter(F.char_length("text") <= SAMPLE_CHARS)
-    for (text,) in texts.take(SAMPLE):  # reads no more partitions than it needs
-        seen.update(p for p in enc.split(text) if len(p) <= LONGEST)
-    top = [p for p, _ in seen.most_common(TABLE)]
-    enc.learn(top)
-    return {p: len(enc.seen[p]) // 4 for p in top}
+    enc = Encoder(vocabulary)
+    if not enc.easy:
+        return {}  # the library encodes whole texts
+
+    def count(batches):
+        split, seen = encoder(vocabulary).split, Counter()
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                seen.update(p for p in split(text) if len(p) <= LONGEST)
+                if len(seen) > 8 * TABLE:
+                    seen = Counter(dict(seen.most_common(4 * TABLE)))
+        top = seen.most_common(TABLE)
+        yield pa.RecordBatch.from_arrays([pa.array([[p for p, _ in top]]), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["pieces", "n"])
+
+    seen = Counter()
+    dealt = sampled_texts(docs, text_col).repartition(TASKS)
+    for pieces, n in dealt.mapInArrow(count, "pieces array<string>, n array<bigint>").collect():  # TASKS summaries
+        for p, k in zip(pieces, n):
+            seen[p] += k
+    top = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE]]
+    return {p: len(enc.piece(p)) for p in top}
 
 
 class Counts:
@@ -58,21 +84,21 @@ class Counts:
 
     def count(self, text: str) -> int:
         enc = self.enc
-        if enc.cut is None or not any(s in text for s in enc.special):
-            return self.plain(text)
-        return sum(1 if p in enc.special else self.plain(p) for p in enc.cut.split(text) if p)
+        if not enc.by_pieces(text):
+            return len(enc.library(text))
+        return sum(1 if p in enc.special else self.plain(p) for p in enc.parts(text))
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    As tokenizers counts them without added special tokens; special strings in a text are special
-    tokens, its default. Null counts as empty (0 tokens). Rows stay as they are, repeated ones, too;
-    other columns are not read. No shuffle.
+    As the library counts them (tokenizers for a .json, sentencepiece for a .model) without added special
+    tokens; special strings in a text are its default. Null counts as empty (0 tokens). Rows stay as they
+    are, repeated ones, too; other columns, whatever their names, are not read. The texts are not shuffled,
+    but for the sample.
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
-    small_batches(spark)
     table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, vocabulary))
     narrow = docs.select(column(docs, id_col).alias("doc_id"), text_of(column(docs, text_col)).alias("text"))
     schema = T.StructType([
@@ -82,7 +108,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
 
     def run(batches):
         counts = Counts(vocabulary, table.value)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             n = [counts.count(t) for t in texts]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

@@ -2,12 +2,20 @@
 
 A byte-level BPE encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in a row.
 The special tokens' strings are cut out first, as the library's default does.
+
+Pre-tokens are found here by `regex`, whose Unicode tables need not be the library's. So every encoder
+first asks the library for the class (letter, number, white space, other) of every code point, and a
+text that holds a code point on which the two differ goes through the library as a whole. So does
+everything where the file's steps are not those of a plain byte-level BPE.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
+import re
+from functools import lru_cache
 
 import regex
 
@@ -26,20 +34,92 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
+@lru_cache(1)
+def _runs() -> dict[str, tuple[str, str]]:
+    """By class of `regex`: a character of the class and all code points of it in a row, surrogates left out."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes = {"letter": ("a", r"\p{L}"), "number": ("1", r"\p{N}"), "space": ("\t", r"\s"), "other": ("!", r"[^\s\p{L}\p{N}]")}
+    return {k: (one, "".join(regex.findall(p + "+", every))) for k, (one, p) in classes.items()}
+
+
+def differing(cut) -> list[tuple[int, int]]:
+    """Ranges of code points whose class `regex` and the library see differently; cut: the library's pre-tokenizer.
+
+    A row of characters of one class is one pre-token, so only where the library cuts such a row is there
+    anything to look at.
+    """
+    odd: list[int] = []
+    for one, row in _runs().values():
+        for _, (a, b) in cut.pre_tokenize_str(row):
+            if len(cut.pre_tokenize_str(one + row[a:b] + one)) > 1:
+                odd += [ord(c) for c in row[a:b] if len(cut.pre_tokenize_str(one + c + one)) > 1]
+    return _ranges(sorted(odd))
+
+
+def plain_bpe(steps: dict) -> bool:
+    """Whether a tokenizer's JSON is a byte-level BPE without any step that Encoder does not take itself."""
+    cut, model = steps.get("pre_tokenizer") or {}, steps.get("model") or {}
+    return (
+        steps.get("normalizer") is None
+        and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback")
+        and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+        and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit integers in bytes; `seen` maps pre-tokens to such bytes."""
+    """ids(text) as little-endian unsigned 32-bit integers in bytes; `seen` maps pre-tokens to such bytes.
+
+    vocabulary: a .json of tokenizers, or a .model of sentencepiece, which encodes whole texts itself.
+    """
 
-    def __init__(self, vocabulary: str, text: str | None = None):
+    def __init__(self, vocabulary: str):
+        self.seen: dict[str, bytes] = {}
+        if vocabulary.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+            self.library = lambda text: model.encode(text, num_threads=1)
+            self.easy = False
+            return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(text) if text else Tokenizer.from_file(vocabulary)
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.library = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.easy = plain_bpe(json.loads(self.tokenizer.to_str()))
+        if not self.easy:
+            return
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {s: self.pack([i]) for s, i in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(PATTERN).findall
-        self.seen: dict[str, bytes] = {}
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        odd = differing(self.tokenizer.pre_tokenizer)
+        self.odd = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in odd) + "]") if odd else None
+
+    def by_pieces(self, text: str) -> bool:
+        """Whether the text's pre-tokens, as split() gives them, are the library's."""
+        return self.easy and (self.odd is None or self.odd.search(text) is None)
+
+    def parts(self, text: str) -> list[str]:
+        """The text between special tokens, and these."""
+        if self.cut is None or not any(s in text for s in self.special):
+            return [text]
+        return [p for p in self.cut.split(text) if p]
 
     def piece(self, piece: str) -> list[int]:
         """Ids of one pre-token: the library's model on its byte letters."""
@@ -68,9 +148,9 @@ class Encoder:
             return b"".join(map(self.seen.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.plain(text)
-        return b"".join(self.special.get(p) or self.plain(p) for p in self.cut.split(text) if p)
+        if not self.by_pieces(text):
+            return self.pack(self.library(text))
+        return b"".join(self.special.get(p) or self.plain(p) for p in self.parts(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, small_batches, text_of
+from .common import column, slices, text_of
 from .labelled import logistic, sample, sigmoid
 
 #: Labelled texts of each class that come to the driver at most; n-gram order; discount.
@@ -187,7 +187,6 @@ class Model:
 
 def classified(docs: DataFrame, make_scores, modulus: int, held_out: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; make_scores() gives a worker's function of texts."""
-    small_batches(docs.sparkSession)
     ident = column(docs, id_col)
     out = F.coalesce(F.crc32(ident.cast("string")) % modulus == held_out, F.lit(False))
     narrow = docs.select(ident.alias("doc_id"), out.alias("held_out"), text_of(column(docs, text_col)).alias("text"))
@@ -198,7 +197,7 @@ def classified(docs: DataFrame, make_scores, modulus: int, held_out: int, thresh
 
     def run(batches):
         scores = make_scores()
-        for b in batches:
+        for b in slices(batches):
             s = scores(b.column("text").to_pylist()) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())],
