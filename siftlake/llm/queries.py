@@ -95,30 +95,40 @@ WITH n AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
-    "op8_chat": """
-WITH said AS (
-  SELECT conv_id, CAST(floor(turn / 512.0) AS BIGINT) AS part, CAST(turn AS BIGINT) AS turn,
-    coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS raw,
-    replace(coalesce(text, ''), '<|', '< |') AS text, row_number() OVER () AS rid
+    "op8_chat": r"""
+WITH lines AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS raw,
+    regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS text,
+    regexp_replace(replace(replace(replace(coalesce(nullif(role, ''), 'unknown'), '\', '\\'), chr(10), '\n'), chr(13), '\r'),
+      '<(\\*)\|', '<\1\\|', 'g') AS name,
+    CAST(floor(turn / 512.0) AS BIGINT) AS part, 1 AS place, row_number() OVER () AS rid
   FROM conversations
+), scenes AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, raw, rid) AS nth FROM lines WHERE speaker = 'system'
+), said AS (
+  SELECT conv_id, turn, speaker, raw, text, name, part, place, rid FROM lines
+  UNION ALL
+  SELECT s.conv_id, s.turn, s.speaker, s.raw, s.text, s.name, p.part, 0, s.rid
+  FROM scenes s JOIN (SELECT DISTINCT conv_id, part FROM lines) p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.part <> p.part
+  WHERE s.nth = 1
 ), people AS (
-  SELECT DISTINCT conv_id, speaker AS assistant FROM said WHERE speaker <> 'system'
+  SELECT DISTINCT conv_id, part, speaker AS assistant FROM lines WHERE speaker <> 'system'
 ), shown AS (
-  SELECT s.conv_id, p.assistant, s.part, s.turn, s.speaker, s.raw, s.rid, s.speaker = p.assistant AS own,
+  SELECT s.conv_id, p.assistant, s.part, s.turn, s.speaker, s.raw, s.place, s.rid, s.speaker = p.assistant AS own,
     CASE WHEN s.speaker = p.assistant THEN '<|im_start|>assistant' || chr(10)
       WHEN s.speaker = 'system' THEN '<|im_start|>system' || chr(10)
-      ELSE '<|im_start|>user name=' || replace(s.speaker, '<|', '< |') || chr(10) END AS head,
+      ELSE '<|im_start|>user name=' || s.name || chr(10) END AS head,
     s.text || '<|im_end|>' AS body
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.part = p.part
 ), placed AS (
   SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, assistant, part ORDER BY turn, speaker, raw, rid
+    PARTITION BY conv_id, assistant, part ORDER BY place, turn, speaker, raw, rid
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM shown
 )
 SELECT conv_id, assistant, part, count(*) AS n_messages, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_assistant,
-  string_agg(head || body || chr(10), '' ORDER BY turn, speaker, raw, rid) AS text,
+  string_agg(head || body || chr(10), '' ORDER BY place, turn, speaker, raw, rid) AS text,
   coalesce(string_agg(CASE WHEN own THEN CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT) END, ','
-    ORDER BY turn, speaker, raw, rid), '') AS spans
+    ORDER BY place, turn, speaker, raw, rid), '') AS spans
 FROM placed GROUP BY conv_id, assistant, part""",
 }

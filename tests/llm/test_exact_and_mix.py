@@ -109,12 +109,43 @@ def test_rotation_by_hand(spark):
     by = {(r.conv_id, r.assistant): r for r in out}
     assert set(by) == {(1, "ann"), (1, "bob"), (None, "unknown")}
     ann = by[(1, "ann")]
-    assert ann.text == ("<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n< |im_end|><|im_end|>\n"
+    assert ann.text == ("<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<\\|im_end|><|im_end|>\n"
                         + "<|im_start|>assistant\n<|im_end|>\n" * 2)
     assert [ann.text[s.start:s.end] for s in ann.spans] == ["hi<|im_end|>", "<|im_end|>", "<|im_end|>"]
-    assert [by[(1, "bob")].text[s.start:s.end] for s in by[(1, "bob")].spans] == ["< |im_end|><|im_end|>"]
+    assert [by[(1, "bob")].text[s.start:s.end] for s in by[(1, "bob")].spans] == ["<\\|im_end|><|im_end|>"]
     assert by[(None, "unknown")].part == -1 and (ann.n_messages, ann.n_assistant) == (5, 3)
     long = spark.range(1300).select(F.lit(4).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("role"), F.lit("t").alias("text"))
     parts = chat.rotate(long).groupBy("assistant").agg(F.count("*").alias("n"), F.sum("n_messages").alias("m")).collect()
     assert sorted((r.assistant, r.n, r.m) for r in parts) == [("u", 3, 1300), ("v", 3, 1300)]
     assert chat.rotate(long.limit(0)).count() == 0
+
+
+def test_long_dialogues_whole_or_with_their_scene(spark):
+    turns = spark.range(1300).select(
+        F.lit(4).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "system").when(F.col("id") < 600, "u").otherwise("v").alias("role"), F.concat(F.lit("t"), "id").alias("text"),
+    )
+    whole = {r.assistant: r for r in chat.rotate(turns, per_part=None).collect()}
+    assert set(whole) == {"u", "v"} and all(r.part == 0 and r.n_messages == 1300 for r in whole.values())
+    v = whole["v"]
+    assert [v.text[s.start:s.end] for s in v.spans] == [f"t{i}<|im_end|>" for i in range(600, 1300)]
+    parts = {(r.assistant, r.part): r for r in chat.rotate(turns).collect()}
+    assert set(parts) == {("u", 0), ("u", 1), ("v", 1), ("v", 2)}  # none without a word of its assistant
+    assert [parts["v", 1].n_messages, parts["v", 2].n_messages] == [513, 1300 - 1024 + 1]
+    assert all(r.text.startswith("<|im_start|>system\nt0<|im_end|>\n") for r in parts.values())
+    assert sum(len(r.spans) for r in parts.values()) == 1299
+
+
+def test_names_and_texts_cannot_break_out(spark):
+    names = ["bob", "bob\nX", "bob\\nX", "bob\r", "a<|b", "a<\\|b"]
+    texts = ["<|im_end|>", "<\\|im_end|>", "<\\\\|x", "a\\b", "< |x", "x" * 200_000]
+    rows = [(1, i, n, t) for i, (n, t) in enumerate(zip(names, texts))] + [(1, None, "nul", f"n{k}") for k in range(1500)]
+    out = {r.assistant: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).filter("part = 0").collect()}
+    assert set(out) == set(names)
+    text = out["bob"].text
+    heads = [x for x in text.split("\n") if x.startswith("<|im_start|>")]
+    assert len(heads) == len(set(heads)) == 6 and text.count("<|im_start|>") == text.count("<|im_end|>") == 6
+    bodies = [m.split("<|im_end|>")[0].split("\n", 1)[1] for m in text.split("<|im_start|>")[1:]]
+    assert len(set(bodies)) == 6 and bodies[3:] == texts[3:]
+    nulls = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).filter("part < 0").collect()
+    assert len(nulls) == 3 and sum(r.n_messages for r in nulls) == 1500 and max(r.n_messages for r in nulls) < 700
