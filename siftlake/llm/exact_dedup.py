@@ -3,8 +3,9 @@
 Every row sends its digest, its identifier and a locator of its content (file and row number) to a
 streaming aggregation whose state store (RocksDB: on disk, checkpointed to the shared folder) keeps,
 for each digest, the winner's identifier and locator and the count. A digest that is met again is a
-hit. Hits are then checked byte for byte: the locators fetch both texts, and rows whose bytes differ
-from the winner's although the digests agree are grouped by the text itself.
+hit. Hits are then checked byte for byte: the locators pick both texts while their files are scanned, and
+rows whose bytes differ from the winner's although the digests agree are grouped by the text itself.
+No other text leaves its task.
 
 Everything runs on DataFrame operations. A hot digest is one row per map task before the state's
 shuffle; the join that checks bytes spreads a large group over salts, so no task gets the group.
@@ -17,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, located, scratch, settle, text_of
+from .common import ascii_lower, located, picked, scratch, settle, text_of
 
 #: Members of one group that one task compares with a copy of the winner's text.
 GROUP_PER_TASK = 512
@@ -82,11 +83,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _groups(spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    spark, field = spots.sparkSession, F.col("doc").getField
-    texts = spots.select(
-        ascii_lower(text_of(field(text_col))).alias("text"),
-        F.struct(field(id_col).alias("doc_id"), "file", "row").alias("ident"),
-    )
+    spark = spots.sparkSession
+    texts = _texts(spots, id_col, text_col)
     rows = settle(texts.select(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), "ident"), "digests")
     if rows.isEmpty():
         return _named(rows.select("ident", F.col("ident").alias("winner"), F.lit(1).cast("long").alias("n"), "digest"))
@@ -95,17 +93,23 @@ def _groups(spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
     observe(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path), state_dir)
     state = settle(state_of(spark, state_dir), "dedup-winners")
-    hits = rows.join(state.filter("n > 1"), "digest")
+    hits = settle(rows.join(state.filter("n > 1"), "digest"), "dedup-hits")
+    met = _texts(picked(spots, hits.select("ident.file", "ident.row")), id_col, text_col)
 
-    different = _different(texts, hits)
+    different = _different(met, hits)
     marked = rows.join(state, "digest").select("ident", "winner", "n", "digest")
     if different.isEmpty():
         return _named(marked)
-    return _named(_regrouped(texts, marked, different))
+    return _named(_regrouped(met, marked, different))
+
+
+def _texts(spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    field = F.col("doc").getField
+    return spots.select(ascii_lower(text_of(field(text_col))).alias("text"), F.struct(field(id_col).alias("doc_id"), "file", "row").alias("ident"))
 
 
 def _different(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Idents of hits whose bytes are not those of their digest's winner."""
+    """Idents of hits whose bytes are not those of their digest's winner; texts: those of the hits."""
     found = hits.select("ident", "digest", "winner", F.ceil(F.col("n") / GROUP_PER_TASK).cast("int").alias("salts")).join(texts, "ident")
     is_winner = F.col("ident") == F.col("winner")
     winners = found.filter(is_winner).select(
@@ -137,7 +141,7 @@ def _named(marked: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() does not keep; columns as they were."""
+    """docs without the rows that exact_groups() does not keep; columns as they were. Documents are not shuffled."""
     spots = located(docs, "dedup-docs")
     gone = _groups(spots, id_col, text_col).filter("NOT kept").select("file", "row")
-    return spots.join(gone, ["file", "row"], "left_anti").select("doc.*")
+    return picked(spots, gone, inside=False).select("doc.*")
