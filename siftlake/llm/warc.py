@@ -13,14 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, located, scratch, settle, small_batches, text_of
+from .common import column, located, picked, scratch, settle, slices, text_of
 
 #: Fixed values of the format.
 MAGIC, VERSION = b"WARC/1.0\r\n", "WARC/1.0"
@@ -41,16 +41,22 @@ def _clean(value: str) -> str:
     return " ".join(value.split()) if any(c in value for c in "\r\n\t\x0b\x0c") else value
 
 
-def record(kind: str, rid: str, url: str, page_id, payload: bytes, digest: str, refers: str | None, date: str) -> bytes:
-    """A record without the last of the line ends that close it."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def _shown(page_id) -> str:
+    """An id as a header value: percent-encoded but for what is safe in a line, so that no two ids look alike."""
+    return quote(str(page_id), safe="", errors="surrogatepass")
+
+
+def record(kind: str, rid: str, url: str, page_id, payload: bytes, digest: str, refers: str | None, date: str, size: int | None = None) -> bytes:
+    """A record without the last of the line ends that close it; a revisit leaves its payload out and tells its size."""
+    size = len(payload) if size is None else size
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [
         f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}", f"WARC-Target-URI: {_clean(url)}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if page_id is not None:
-        head.append(f"X-Page-ID: {_clean(str(page_id))}")
+        head.append(f"X-Page-ID: {_shown(page_id)}")
     if refers:
         head += [f"WARC-Refers-To: {refers}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
@@ -62,10 +68,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     """Writes a record per row of pages into WARC files below path, by Spark's committed text writer.
 
     Of rows with equal payloads of at least min_bytes, the one with the largest id (then file and row
-    number) is a response and the others revisit it. Null html is the empty payload, null url empty,
-    a null id less than any other. Repeated rows are records of their own. Other columns are ignored.
+    number) is a response and the others revisit it. Null html is the empty payload, null url empty, its
+    line ends spaces; a null id is less than any other; ids are written percent-encoded, so texts of any
+    characters come back as they were. Repeated rows and ids are records of their own. Other columns are
+    ignored. No payload is shuffled: a revisit has none, and responses are written where they are read.
     """
-    small_batches(pages.sparkSession)
     base = located(pages.select(
         column(pages, id_col).alias("page_id"), text_of(column(pages, url_col)).alias("url"), text_of(column(pages, html_col)).alias("html")
     ), "pages")
@@ -74,38 +81,34 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     rows = settle(base.select(F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("size"), ident), "page-digests")
     groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("ident").alias("winner"), F.count(F.lit(1)).alias("n"))
     revisits = rows.filter(F.col("size") >= min_bytes).join(groups.filter("n > 1"), "digest").filter("ident <> winner")
-    revisits = settle(revisits.select("ident.file", "ident.row", "winner"), "page-revisits")
-
-    packed = T.StructType([T.StructField("page_id", base.schema["doc"].dataType["page_id"].dataType), T.StructField("url", T.StringType()),
-                           T.StructField("body", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
-
-    def shrink(batches):  # what is shuffled is the compressed payload
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            bodies = [z.compress(h.encode("utf-8", "surrogatepass")) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(bodies, pa.binary()), b.column("file"), b.column("row")], names=packed.fieldNames()
-            )
-
-    small = base.select("doc.page_id", "doc.url", "doc.html", "file", "row").mapInArrow(shrink, packed)
-    joined = small.join(revisits, ["file", "row"], "left").select(
-        "page_id", "url", "body", "file", "row",
+    revisits = settle(revisits.select("ident.file", "ident.row", "winner", "size", "digest"), "page-revisits")
+
+    plain = picked(base, revisits, inside=False).select("doc.page_id", "doc.url", "doc.html", "file", "row")
+    again = picked(base, revisits).select("doc.page_id", "doc.url", "file", "row").join(revisits, ["file", "row"]).select(
+        "page_id", "url", "file", "row", F.col("size").cast("long").alias("size"), "digest",
         F.col("winner.page_id").alias("to_page"), F.col("winner.file").alias("to_file"), F.col("winner.row").alias("to_row"),
     )
 
-    def build(batches):
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
+    def respond(batches):
+        for b in slices(batches):
             out = []
             for r in b.to_pylist():
-                payload = z.decompress(r["body"])
-                refers = record_id(r["to_page"], r["to_file"], r["to_row"]) if r["to_file"] is not None else None
+                body = r["html"].encode("utf-8", "surrogatepass")
                 rid = record_id(r["page_id"], r["file"], r["row"])
-                kind = "revisit" if refers else "response"
-                out.append(record(kind, rid, r["url"], r["page_id"], payload, base32_sha1(payload), refers, date).decode("utf-8", "surrogatepass"))
+                out.append(record("response", rid, r["url"], r["page_id"], body, base32_sha1(body), None, date).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    def revisit(batches):
+        for b in slices(batches):
+            out = []
+            for r in b.to_pylist():
+                rid, refers = record_id(r["page_id"], r["file"], r["row"]), record_id(r["to_page"], r["to_file"], r["to_row"])
+                digest = base64.b32encode(r["digest"]).decode("ascii")
+                out.append(record("revisit", rid, r["url"], r["page_id"], b"", digest, refers, date, r["size"]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    joined.mapInArrow(build, "value string").write.option("lineSep", "\r\n").text(path)
+    written = plain.mapInArrow(respond, "value string").unionByName(again.mapInArrow(revisit, "value string"))
+    written.write.option("lineSep", "\r\n").text(path)
 
 
 CANDIDATE = T.StructType([
@@ -182,7 +185,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             cols = [pa.array([r.get(f.name) for r in rows], pa.string() if isinstance(f.dataType, T.StringType) else pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()) for f in CANDIDATE.fields]
             return pa.RecordBatch.from_arrays(cols, names=CANDIDATE.fieldNames())
 
-        for b in batches:
+        for b in slices(batches):
             for file, split, chunk in zip(b.column("file").to_pylist(), b.column("split").to_pylist(), b.column("chunk").to_pylist()):
                 if (file, split) != key:
                     if key is not None:
@@ -193,7 +196,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                     if parsed := _header(chunk):
                         fields, block = parsed
                         size, name = int(fields[b"content-length"]), lambda k: fields[k].decode("utf-8", "surrogatepass") if k in fields else None
-                        c |= dict(end=pos + block + size + 4, whole=len(chunk) >= block + size, kind=name(b"warc-type"), rid=name(b"warc-record-id"), refers=name(b"warc-refers-to"), page=name(b"x-page-id"), url=name(b"warc-target-uri"), declared=name(b"warc-payload-digest"))
+                        c |= dict(end=pos + block + size + 4, whole=len(chunk) >= block + size, kind=name(b"warc-type"), rid=name(b"warc-record-id"), refers=name(b"warc-refers-to"), page=unquote(name(b"x-page-id"), errors="surrogatepass") if b"x-page-id" in fields else None, url=name(b"warc-target-uri"), declared=name(b"warc-payload-digest"))
                         if c["whole"]:
                             c["size"], c["digest"] = _payload(c["kind"], chunk[block: block + size])
                     found.append(c)
@@ -210,7 +213,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     size and digest are those of the payload as read; a revisit's are looked up by resolve(). A file's
     chain ends where no record begins; what follows is not read. No files give no records.
     """
-    small_batches(spark)
     found = settle(candidates(spark, path), "warc-candidates")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     bases = found.filter("total IS NOT NULL").select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -258,7 +260,7 @@ def _joined(spark: SparkSession, path: str, spots: DataFrame, true: DataFrame, b
 
     def place(batches):
         key, pos = None, 0
-        for b in batches:
+        for b in slices(batches):
             rel = []
             for file, split, chunk in zip(b.column("file").to_pylist(), b.column("split").to_pylist(), b.column("chunk").to_pylist()):
                 if (file, split) != key:
@@ -273,7 +275,7 @@ def _joined(spark: SparkSession, path: str, spots: DataFrame, true: DataFrame, b
     out = T.StructType([f for f in told.schema.fields if f.name != "chunks"] + [T.StructField("whole", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType())])
 
     def assemble(batches):
-        for b in batches:
+        for b in slices(batches):
             sizes, digests, good = [], [], []
             for kind, chunks in zip(b.column("kind").to_pylist(), b.column("chunks").to_pylist()):
                 body = MAGIC.join(c["chunk"] for c in chunks)
