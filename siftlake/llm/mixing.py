@@ -20,12 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import located, settle, text_of
+from .common import located, picked, settle, text_of
 
 #: ASCII white space is what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of one block, prefix buckets of one source, slots ranked in one task, cells of the interval [0, 1).
-BLOCK, BUCKETS, SLOTS_PER_TASK, CELLS = 256, 4096, 65536, 4096
+BLOCK, BUCKETS, SLOTS_PER_TASK, CELLS = 256, 65536, 65536, 4096
+#: Prefix sums that one task makes at a time.
+TOGETHER = 256
 #: Golden-ratio points as t * STEP mod MODULUS (a prime; STEP is MODULUS / phi, rounded): exact in longs.
 MODULUS, STEP = 2147483647, 1327217885
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -44,6 +46,20 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def ahead(df: DataFrame, key: list[str], at: str, value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows of the same key whose `at` (a number of its own from 0 on) is less.
+
+    In two levels: windows see TOGETHER rows, or a row per TOGETHER of them.
+    """
+    df = df.withColumn("stretch", F.expr(f"`{at}` div {TOGETHER}"))
+    whole = df.groupBy(*key, "stretch").agg(F.sum(value).alias("whole"))
+    of_key = Window.partitionBy(*key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select(*key, "stretch", F.coalesce(F.sum("whole").over(of_key), F.lit(0)).alias("earlier"))
+    inner = Window.partitionBy(*key, "stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(base, [*key, "stretch"])
+    return df.withColumn(name, F.col(name) + F.col("earlier")).drop("stretch", "earlier")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
     """(no_source, source, source_size) with weight and target: water-filling under the caps.
 
@@ -92,7 +108,7 @@ def _mix(spots: DataFrame, weights=WEIGHTS, share=1.5, cap=2, block=BLOCK, seed=
         "mix-sizes",
     )
     key = ["no_source", "source"]
-    place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "rid")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    place = F.xxhash64(F.lit(seed), "doc_id", "rid.row")  # rows that repeat an id have places of their own
     rows = rows.withColumn("place", place).withColumn("bucket", F.shiftrightunsigned("place", 64 - (BUCKETS - 1).bit_length()))
     per_bucket = settle(rows.groupBy(*key, "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sizes = per_bucket.groupBy(*key).agg(F.sum("words").alias("source_size"))
@@ -107,8 +123,7 @@ def _mix(spots: DataFrame, weights=WEIGHTS, share=1.5, cap=2, block=BLOCK, seed=
     sources = sources.withColumn("hi", F.sum("slots").over(up_to)).withColumn("lo", F.col("hi") - F.col("slots"))
     sources = settle(sources, "mix-sources")
 
-    offsets = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.withColumn("base", F.coalesce(F.sum("words").over(offsets), F.lit(0))).drop("words")
+    starts = ahead(per_bucket, key, "bucket", "words", "base").drop("words")
     starts = starts.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, key).select(
         *key, "bucket", "base", "source_size", "target"
     )
@@ -152,8 +167,7 @@ def _schedule(spark, sources: DataFrame, key: list[str]) -> DataFrame:
     drawn = drawn.withColumn("cell", F.floor(F.col("x") / per)).join(cells, "cell").filter("x >= lo AND x < hi")
     drawn = drawn.select("t", *key, F.expr(f"t div {SLOTS_PER_TASK}").alias("chunk"))
     per_chunk = drawn.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_chunk.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    base = ahead(per_chunk, key, "chunk", "n", "base").drop("n")
     ranked = drawn.join(base, [*key, "chunk"]).withColumn(
         "rank", F.col("base") + F.row_number().over(Window.partitionBy(*key, "chunk").orderBy("t")) - 1
     )
@@ -169,10 +183,13 @@ def _schedule(spark, sources: DataFrame, key: list[str]) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each as often as it is taken whole, columns as they were.
 
-    Of a document that the end of a source's goal cuts, the greater part decides.
+    Of a document that the end of a source's goal cuts, the greater part decides. Documents are not
+    shuffled: what is taken k times or more is picked from the files for each k up to the cap.
     """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     spots = located(docs, "mix-docs")
-    kept = _mix(spots, **how).takes.select("rid", times.alias("times")).filter("times > 0")
-    placed = spots.select("doc", F.struct("file", "row").alias("rid"))
-    return placed.join(kept, "rid").select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
+    kept = settle(_mix(spots, **how).takes.select("rid.file", "rid.row", times.alias("times")).filter("times > 0"), "mix-times")
+    out = picked(spots, kept)
+    for k in range(2, (kept.agg(F.max("times")).first()[0] or 0) + 1):
+        out = out.unionByName(picked(spots, kept.filter(F.col("times") >= k)))
+    return out.select("doc.*")
