@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, settle, small_batches, text_of
+from .common import column, located, settle, slices, text_of
 
 #: Levels whose phrases are compared (phrases have about 3, 9, 27 ... characters), and bins of 16 bits.
 LEVELS, BINS = (2, 3, 4), 64
@@ -117,12 +117,11 @@ def read(fingerprint: str) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_chars, fingerprint. Null is empty: all bins are empty."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(column(docs, id_col).alias("doc_id"), text_of(column(docs, text_col)).alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("fingerprint", T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([shown(s) for s in all_sketches(texts)], pa.string())],
@@ -141,16 +140,17 @@ def edited(text: str, following: str) -> str:
 def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one with the next lesser id (of equal ids, by hash of the text; null ids
-    come last); after the last comes the first. Null texts are empty. An empty table gives no row. Texts are
+    The next document is the one with the next lesser id (of equal ids, by hash of the text, then by a hash of
+    the place in the files, so that equal rows can lie in different partitions; null ids come last); after the last
+    comes the first. Null texts are empty. An empty table gives no row. Texts are
     dealt by ranges of the id, so each partition needs but one text of the partition after it.
     """
-    small_batches(docs.sparkSession)
-    narrow = docs.select(column(docs, id_col).alias("doc_id"), text_of(column(docs, text_col)).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]  # the ranges are found from samples of these
-    placed = narrow.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc())
+    field = F.col("doc").getField
+    spots = located(docs, "print-docs").select(field(id_col).alias("doc_id"), text_of(field(text_col)).alias("text"), F.xxhash64("file", "row").alias("spot"))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("spot").asc()]
+    placed = spots.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     result = [
-        narrow.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
+        placed.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
         T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
     ]
@@ -180,7 +180,7 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         task, last, kind = TaskContext.get().partitionId(), None, None
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             kind = b.column("doc_id").type
@@ -208,7 +208,7 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def close(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 own, after = (np.stack([read(f) for f in b.column(c).to_pylist()]) for c in ("fingerprint", "next_print"))
                 ids, texts, nexts = (b.column(c).to_pylist() for c in ("doc_id", "text", "next_text"))
