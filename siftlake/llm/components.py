@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Now u > v in every edge: small stars gather the lesser neighbours of each node.
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = settle(small.filter("u <> v").distinct(), "edges")
+        before, e = e, settle(small.filter("u <> v").distinct(), "edges")
+        forget(before, least, large, low)
         now = _mark(e)
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

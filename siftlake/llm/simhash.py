@@ -1,20 +1,22 @@
 """SimHash near-duplicates through pivot distance tables.
 
 A text's fingerprint has the majority bits of the XXH64 hashes of its word shingles; `lanes` of 64 bits
-each give wider fingerprints (further lanes are mixed from the same hash). Equal fingerprints are one
-node. Nodes meet in tables: a table is a set of bit positions, and nodes that agree in all of them share
-a bucket. Within a bucket the Hamming distances to many reference fingerprints (pivots) are computed
-once for each node; a pair whose distances to any pivot differ by more than the threshold is discarded
-by the triangle inequality, the survivors are verified on the fingerprints themselves, and the bucket
-sends a spanning forest, never all pairs. The forests' components are the groups.
-
-The tables are either exact (each pair within the threshold agrees in some `agree` of `blocks` blocks,
-as there are more blocks than differing bits) or `sampled` sets of bits, whose recall is documented.
-
-A plan with a `similarity` takes these groups as candidates only: within each, rows are linked when the
-Jaccard similarity of their whole texts' shingle sets reaches it, and the components of these links are
-the groups. All pairs of a group are open to the test, those that share a fingerprint, too; rows that are
-linked already are not compared again, so a group of near copies costs no pairs.
+each give wider fingerprints (further lanes are mixed from the same hash). Rows that cannot differ are one
+node. Nodes meet in buckets. Within a bucket the Hamming distances to many reference fingerprints (pivots)
+are computed once for each node; a pair whose distances to any pivot differ by more than the threshold is
+discarded by the triangle inequality, the survivors are verified on the fingerprints themselves, and the
+bucket sends a spanning forest, never all pairs. The forests' components are the groups.
+
+Exact plans deal nodes by blocks of bits: each pair within the threshold agrees in some `agree` of `blocks`
+blocks, as there are more blocks than differing bits. Their pivots are random fingerprints.
+
+A plan with a `similarity` asks for more differing bits than blocks can cover. It deals nodes by `bands` of
+`rows` minima of their shingle hashes, so that how many nodes share a bucket depends on how alike they are,
+not on how many there are; fingerprints are those of the set of shingles, and pivots are members of the
+bucket, which tell its clusters apart. These groups are candidates only: within each, nodes are linked when
+the Jaccard similarity of their whole texts' shingle sets reaches the threshold, and the components of these
+links are the groups. All pairs of a group are open to the test; nodes that are linked already are not
+compared again, so a group of near copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import located, settle, small_batches, text_of
+from .common import located, picked, settle, slices, text_of
 from .components import components
 
 #: Nodes of a bucket that one task handles together, at least; larger buckets are split into tiles.
@@ -47,7 +49,7 @@ SET_TILE = 1 << 19
 
 @dataclass(frozen=True)
 class Plan:
-    """shingle: words; bits: threshold; lanes: 64-bit words of a fingerprint; tables by blocks or by sampling.
+    """shingle: words; bits: threshold; lanes: 64-bit words of a fingerprint; buckets by blocks or by bands.
 
     similarity: least Jaccard similarity of linked rows' shingle sets; None: the bits decide.
     """
@@ -56,24 +58,19 @@ class Plan:
     bits: int = 4
     lanes: int = 1
     blocks: int = 6
-    sampled: int = 0
-    sampled_bits: int = 16
+    bands: int = 0
+    rows: int = 5
     pivots: int = 24
     seed: int = 42
     similarity: float | None = None
 
     def tables(self) -> list[tuple[int, ...]]:
         """For each table, a mask for each lane."""
-        width = 64 * self.lanes
-        if self.sampled:
-            rnd = random.Random(self.seed)
-            sets = [rnd.sample(range(width), self.sampled_bits) for _ in range(self.sampled)]
-        else:
-            agree = self.blocks - self.bits
-            if agree < 1:
-                raise ValueError("there must be more blocks than differing bits")
-            edge = [i * width // self.blocks for i in range(self.blocks + 1)]
-            sets = [[b for k in c for b in range(edge[k], edge[k + 1])] for c in combinations(range(self.blocks), agree)]
+        agree, width = self.blocks - self.bits, 64 * self.lanes
+        if agree < 1:
+            raise ValueError("there must be more blocks than differing bits")
+        edge = [i * width // self.blocks for i in range(self.blocks + 1)]
+        sets = [[b for k in c for b in range(edge[k], edge[k + 1])] for c in combinations(range(self.blocks), agree)]
         return [tuple(sum(1 << (b - 64 * i) for b in s if b // 64 == i) for i in range(self.lanes)) for s in sets]
 
     def references(self) -> np.ndarray:
@@ -83,10 +80,10 @@ class Plan:
 
 #: For the contract: 4-word shingles, links at 4 or fewer of 64 bits, found exactly.
 EXACT = Plan()
-#: For near copies of word 5-shingles at a similarity of 0.8: 256 bits. Shingle sets of Jaccard 0.8 have
-#: a cosine of 0.89 or an angle of 0.15 half turns, 39 bits; 48 leaves 1.6 standard deviations. 40 tables
-#: of 16 bits bring a pair at 39 bits together with a probability of 0.95, nearer pairs with more.
-NEAR = Plan(shingle=5, bits=48, lanes=4, sampled=40, similarity=0.8)
+#: For near copies of word 5-shingles at a similarity of 0.8. Such sets have a cosine of 0.89 or more, an angle of
+#: 0.15 half turns, 19.5 of 128 bits with a deviation of 4.1; 32 bits leave 3. 24 bands of 5 minima bring a pair
+#: at 0.8 together with a probability of 0.9999, one at 0.5 with 0.53, one at 0.2 with 0.008.
+NEAR = Plan(shingle=5, bits=32, lanes=2, bands=24, pivots=8, similarity=0.8)
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -119,11 +116,31 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_hashes(text, k)]))
 
 
+def minima(shingles: np.ndarray, plan: Plan) -> list[int]:
+    """A key for each band: of one permutation's minima in bands * rows bins; an empty bin takes that of the next ones."""
+    n = plan.bands * plan.rows
+    z = _mixed(shingles, plan.lanes + 1)
+    bins, value = z % np.uint64(n), z // np.uint64(n)
+    order = np.lexsort((value, bins))
+    held, first = np.unique(bins[order], return_index=True)
+    least = np.zeros(n, dtype=np.uint64)
+    if len(held):
+        at = np.searchsorted(held, np.arange(n, dtype=np.uint64)) % len(held)  # the bin itself or the next that is held
+        far = (held[at].astype(np.int64) - np.arange(n)) % n
+        least = value[order][first][at] * np.uint64(1024) + far.astype(np.uint64)
+    return [xxhash.xxh64_intdigest(least[i * plan.rows: (i + 1) * plan.rows].tobytes(), i) for i in range(plan.bands)]
+
+
 def fingerprint(text: str, plan: Plan = EXACT) -> list[int]:
     """The lanes of a text's fingerprint; no words: zeros."""
+    return majority(_hashes(text, plan.shingle), plan)
+
+
+def majority(hashes, plan: Plan) -> list[int]:
+    """The lanes of the bits that more than half of the hashes have."""
     total = 0
     ones = np.zeros((plan.lanes, 64), dtype=np.int64)
-    for h in _hashes(text, plan.shingle):
+    for h in hashes:
         total += len(h)
         for lane in range(plan.lanes):
             bits = np.unpackbits(_mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -136,21 +153,40 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(texts: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """texts (text, and others that stay) with the lanes f0, f1, ... as longs in place of the text."""
-    small_batches(texts.sparkSession)
-    lanes = [f"f{i}" for i in range(plan.lanes)]
+    """texts (text, and others that stay) with the lanes f0, f1, ... as longs in place of the text.
+
+    Under a plan with a similarity the lanes are those of the set of shingles, and the set's digest
+    (d0, d1) and its bands (b0, b1, ...) follow.
+    """
+    names = _lanes(plan) + (["d0", "d1", *_bands(plan)] if plan.similarity is not None else [])
     rest = [f for f in texts.schema.fields if f.name != "text"]
-    schema = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in lanes]])
+    schema = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in names]])
+
+    def numbers(text: str) -> list[int]:
+        if plan.similarity is None:
+            return [_signed(x) for x in fingerprint(text, plan)]
+        s = shingle_set(text, plan.shingle)
+        whole = xxhash.xxh128_intdigest(s.tobytes(), len(s) & 0xFFFFFFFF)
+        lanes = majority((s[i: i + CHUNK] for i in range(0, len(s), CHUNK)), plan)
+        return [_signed(x) for x in (*lanes, whole >> 64, whole & (2**64 - 1), *minima(s, plan))]
 
     def run(batches):
-        for b in batches:
-            found = [[_signed(x) for x in fingerprint(t, plan)] for t in b.column("text").to_pylist()]
-            cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(plan.lanes)]
+        for b in slices(batches):
+            found = np.array([numbers(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(b.num_rows, len(names))
+            cols = [pa.array(found[:, i]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], *cols], names=schema.fieldNames())
 
     return texts.mapInArrow(run, schema)
 
 
+def _lanes(plan: Plan) -> list[str]:
+    return [f"f{i}" for i in range(plan.lanes)]
+
+
+def _bands(plan: Plan) -> list[str]:
+    return [f"b{i}" for i in range(plan.bands)]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """(member, least member) for the components of the links a-b among n rows."""
     up = {}
@@ -168,6 +204,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in list(up) if root(x) != x]
 
 
+def farthest(f: np.ndarray, n: int) -> list[np.ndarray]:
+    """Up to n rows, each the farthest from those before it: one of each cluster, if there are no more than n."""
+    out, least = [f[0]], np.bitwise_count(f ^ f[0]).sum(axis=1, dtype=np.int16)
+    while len(out) < n and least.max() > 0:
+        out.append(f[int(least.argmax())])
+        least = np.minimum(least, np.bitwise_count(f ^ out[-1]).sum(axis=1, dtype=np.int16))
+    return out
+
+
 def linked(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
     """Edges (node, node) of a spanning forest of each bucket's links; rows are sorted by bucket."""
     n, limit = len(buckets), plan.bits
@@ -180,12 +225,17 @@ def linked(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, plan: Pla
     out: list[tuple[int, int]] = []
     refs = plan.references()
 
-    def table(f: np.ndarray) -> np.ndarray:
-        return np.stack([np.bitwise_count(f ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+    def away(f: np.ndarray, pivots) -> np.ndarray:
+        """Distances of each row to the pivots: one fingerprint for all rows, or one for each."""
+        return np.stack([np.bitwise_count(f ^ r).sum(axis=1, dtype=np.int16) for r in pivots], axis=1)
 
     if len(few):
         f, g, key = prints[few], buckets[few], nodes[few]
-        dist, links_a, links_b = table(f), [], []
+        own = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        count = np.diff(np.r_[own, len(g)])
+        # Members of the bucket at even spaces, or the references.
+        members = [f[np.repeat(own + count * k // plan.pivots, count)] for k in range(plan.pivots)]
+        dist, links_a, links_b = away(f, members if plan.bands else refs), [], []
         for off in range(1, int(sizes[sizes <= SMALL].max())):
             i = np.flatnonzero(g[off:] == g[:-off])
             if not len(i):
@@ -198,7 +248,7 @@ def linked(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, plan: Pla
             out += [(int(key[x]), int(key[y])) for x, y in _forest(len(few), np.concatenate(links_a), np.concatenate(links_b))]
     for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         f, key = prints[s: s + m], nodes[s: s + m]
-        dist = table(f)
+        dist = away(f, farthest(f, plan.pivots) if plan.bands else refs)
         order = np.argsort(dist[:, 0], kind="stable")
         alive, first = order, dist[order, 0]
         for seed in order.tolist():
@@ -224,13 +274,16 @@ def linked(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, plan: Pla
 
 
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Edges (u, v) whose components are those of all links within plan.bits; nodes: node and lanes."""
-    lanes = [f"f{i}" for i in range(plan.lanes)]
-    buckets = [
-        F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, masks)])
-        for t, masks in enumerate(plan.tables())
-    ]
-    dealt = nodes.select("node", *lanes, F.explode(F.array(*buckets)).alias("bucket"))
+    """Edges (u, v) whose components are those of all links within plan.bits that share a bucket; nodes: node, lanes and bands."""
+    lanes = _lanes(plan)
+    if plan.bands:
+        buckets = [F.xxhash64(F.lit(t), F.col(c)) for t, c in enumerate(_bands(plan))]
+    else:
+        buckets = [
+            F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, masks)])
+            for t, masks in enumerate(plan.tables())
+        ]
+    dealt = nodes.select("node", *lanes, F.explode(F.array_distinct(F.array(*buckets))).alias("bucket"))
     counted = settle(dealt.groupBy("bucket").count().filter("count > 1"), "bucket-sizes")
     rows = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     tile = max(TILE, -(-rows // SPLIT))
@@ -306,10 +359,9 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
     """Edges (u, v) of items that are similar enough; candidates: item, root (of its group of candidates), text."""
-    small_batches(candidates.sparkSession)
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, plan.shingle) for t in b.column("text").to_pylist()]
             held = pa.array([s.tobytes() for s in sets], pa.binary())
             size = pa.array([len(s) for s in sets], pa.int64())
@@ -332,7 +384,7 @@ def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches):
         key, items, held = None, [], []
-        for b in batches:
+        for b in slices(batches):
             for t, i, s in zip(b.column("tile").to_pylist(), b.column("item").to_pylist(), b.column("shingles")):
                 if t != key:
                     yield from edges(items, held)
@@ -361,33 +413,35 @@ def near_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", tex
     return _groups(located(docs, "near-docs"), plan, id_col, text_col)
 
 
+def _texts(spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    field = F.col("doc").getField
+    return spots.select(field(id_col).alias("doc_id"), "file", "row", text_of(field(text_col)).alias("text"))
+
+
 def _groups(spots: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    lanes, field = [f"f{i}" for i in range(plan.lanes)], F.col("doc").getField
-    texts = spots.select(field(id_col).alias("doc_id"), "file", "row", text_of(field(text_col)).alias("text"))
-    rows = settle(fingerprints(texts, plan).withColumn("item", F.monotonically_increasing_id()), "fingerprints")
-    counted = rows.groupBy(*lanes).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    nodes = settle(counted.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    groups = components(links(nodes, plan))
+    lanes = _lanes(plan)
+    rows = settle(fingerprints(_texts(spots, id_col, text_col), plan).withColumn("item", F.monotonically_increasing_id()), "fingerprints")
     hexed = F.lower(F.concat(*[F.lpad(F.hex(F.col(c)), 16, "0") for c in reversed(lanes)]))
+    same = lanes if plan.similarity is None else ["d0", "d1"]  # what makes rows one node
+    more = [F.any_value(c).alias(c) for c in ([] if plan.similarity is None else lanes + _bands(plan))]
+    counted = rows.groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("item").alias("node"), *more)
+    nodes = settle(counted, "near-nodes")  # a node is the first of its rows
+    groups = components(links(nodes, plan))
     if plan.similarity is not None:
-        groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())  # roots are not among the nodes
-        held = nodes.join(groups, "node", "left").filter("root IS NOT NULL OR n > 1").select(*lanes, F.coalesce("root", "node").alias("root"))
-        spotted = rows.join(held, lanes).select("item", "root", "file", "row")
-        found = components(_confirmed(texts.drop("doc_id").join(spotted, ["file", "row"]), plan))
-        named = rows.join(found.withColumnRenamed("node", "item"), "item", "left").withColumn("group_key", F.coalesce("root", "item"))
-        named = settle(named.select("doc_id", hexed.alias("fingerprint"), "group_key", "file", "row"), "near-named")
-        ids = settle(named.groupBy("group_key").agg(F.min("doc_id").alias("component_id")), "near-ids")
-        return named.join(ids, "group_key").select("doc_id", "fingerprint", "component_id", "group_key", "file", "row")
+        held = settle(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "near-candidates")  # roots are not among the nodes
+        spotted = settle(rows.select("item", "file", "row").join(held.withColumnRenamed("node", "item"), "item"), "near-spotted")
+        texts = _texts(picked(spots, spotted), id_col, text_col).drop("doc_id").join(spotted, ["file", "row"])
+        groups = components(_confirmed(texts, plan))
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = settle(named.groupBy("root").agg(F.min("least").alias("component_id")), "near-ids")  # so a hot group's join can be split
-    by_print = settle(named.join(ids, "root").select(*lanes, "component_id", F.col("root").alias("group_key")), "near-components")
-    return rows.join(by_print, lanes).select("doc_id", hexed.alias("fingerprint"), "component_id", "group_key", "file", "row")
+    by_node = settle(named.join(ids, "root").select(*same, "component_id", F.col("root").alias("group_key")), "near-components")
+    return rows.join(by_node, same).select("doc_id", hexed.alias("fingerprint"), "component_id", "group_key", "file", "row")
 
 
 def drop_near_copies(docs: DataFrame, plan: Plan = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: the one with the least id, then locator."""
+    """docs with one row of each group: the one with the least id, then locator. Documents are not shuffled."""
     spots = located(docs, "near-docs")
-    found = _groups(spots, plan, id_col, text_col)
+    found = settle(_groups(spots, plan, id_col, text_col), "near-found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     stays = found.groupBy("group_key").agg(F.min(order).alias("at")).select("at.file", "at.row")
-    return spots.join(stays, ["file", "row"], "left_semi").select("doc.*")
+    return picked(spots, stays).select("doc.*")

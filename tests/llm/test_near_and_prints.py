@@ -141,14 +141,48 @@ def test_near_copies_equal_brute_force_on_shingle_sets(spark, monkeypatch, tile)
     monkeypatch.setattr(simhash, "SET_TILE", tile)
     texts = near_corpus()
     want = joined([shingled(t) for t in texts])
-    prints = [simhash.fingerprint(t or "", simhash.NEAR) for t in texts]
-    assert brute(prints, list(range(len(texts))), 48) != want and prints[-1] == prints[-2]
+    prints = [simhash.majority([simhash.shingle_set(t or "", 5)], simhash.NEAR) for t in texts]
+    assert brute(prints, list(range(len(texts))), simhash.NEAR.bits) != want
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_groups(df, simhash.NEAR).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(set(want))
 
 
+def test_recall_by_band_of_similarity(spark):
+    """Pairs at 0.8 or more that end in one group, by how alike they are; pairs come from edits of 300-word texts."""
+    rnd, texts = random.Random(31), []
+    for _ in range(120):
+        base = [f"w{rnd.randrange(20000)}" for _ in range(300)]
+        copy = list(base)
+        for i in rnd.sample(range(300), rnd.randint(1, 7)):
+            copy[i] = f"x{rnd.randrange(20000)}"
+        texts += [" ".join(base), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, simhash.NEAR).collect()}
+    found, all_ = {}, {}
+    for i in range(0, len(texts), 2):
+        a, b = shingled(texts[i]), shingled(texts[i + 1])
+        band = int(20 * len(a & b) / len(a | b))
+        if similar(a, b):
+            all_[band] = all_.get(band, 0) + 1
+            found[band] = found.get(band, 0) + (got[i] == got[i + 1])
+        else:
+            assert got[i] != got[i + 1]
+    assert len(all_) >= 3 and all(found[k] >= 0.9 * n for k, n in all_.items()), (found, all_)
+
+
+def test_pivots_of_a_bucket_discard_pairs_of_different_clusters():
+    rnd = random.Random(5)
+    centres = [[rnd.getrandbits(64), rnd.getrandbits(64)] for _ in range(6)]
+    prints = np.array([[c[0] ^ (1 << rnd.randrange(64)), c[1]] for c in centres for _ in range(20)], dtype=np.uint64)
+    pivots = simhash.farthest(prints, 8)
+    away = np.stack([np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+    gap = np.abs(away[:, None] - away[None]).max(axis=2)
+    cluster = np.arange(120) // 20
+    assert (gap[cluster[:, None] != cluster[None]] > simhash.NEAR.bits).mean() > 0.9
+
+
 def test_alike_links_only_similar_sets_and_loses_none():
     sets = [simhash.shingle_set(t or "", 5) for t in near_corpus()]
     edges = simhash.alike(sets, 0.8)
