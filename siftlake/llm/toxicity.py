@@ -1,12 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models of words, of toxic and of ordinary texts, share one backoff: the highest order
-counts by class, the lower orders are Kneser-Ney continuation counts of both classes together, so a rare
-expression is smoothed by what either class knows. A word's score is its log-likelihood under the toxic
-model less that under the ordinary one, divided by its length. An n-gram that neither class has seen
-differs by the classes' backoff weights of its context alone, as the shared part cancels; so a model is
-two tables. A text's features (its own length-normalised ratio, its most toxic words and windows) are
-calibrated by a logistic function on texts that the counts have not seen.
+Toxic and ordinary texts have a model each. The upper levels count by class: words, and pairs of words that
+enough texts hold. Their backoff is shared: the Kneser-Ney continuation counts of both classes together, so
+a rare expression is smoothed by what either class knows, and what neither has seen tells nothing but the
+classes' backoff weights. A word that neither class has seen is judged by its spelling: character models of
+the classes, again with shared lower orders, give its log-likelihood ratio, which counts at a weight.
+
+A toxic text is an ordinary one but for a small share of its words. Its log-likelihood ratio is therefore that
+of the mixture, log(1 - share + share * ratio) summed over the words, normalised by the root of their number,
+so that chance in long texts weighs no more than in short ones. One rising curve of that number, fitted on
+texts that the counts have not seen, is the score. Order, discount, share, weight, cut-offs and the curve were
+chosen by folds within the rows whose labels may be learnt.
 """
 
 from __future__ import annotations
@@ -20,19 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, slices, text_of
-from .labelled import logistic, sample, sigmoid
+from .labelled import logistic, sample, sigmoid, words_of
 
 #: Labelled texts of each class that come to the driver at most; n-gram order; discount.
-PER_CLASS, ORDER, DISCOUNT = 4000, 7, 0.75
-#: Words whose scores a worker remembers, and words of a window.
-REMEMBERED, WINDOW = 600_000, 24
-#: Bits of a letter in an n-gram's key (rarer letters are one), ratio of a strong word, features of a text.
-BITS, STRONG, FEATURES = 9, 2.0, 8
+PER_CLASS, ORDER, DISCOUNT = 4000, 6, 0.75
+#: Words whose scores a worker remembers. A pair of words counts as one expression beyond so many texts of a class.
+REMEMBERED, TEXTS = 600_000, 8
+#: Share of toxic words in a toxic text, weight of an unseen word's spelling, bounds of a ratio.
+SHARE, SPELLING, LOWEST, HIGHEST = 0.003, 0.25, -30.0, 12.0
+#: Texts that a known word stands in at least, parts of the rows that calibrate in turn, steepness of the curve.
+LEAST, PARTS, SCALE = 2, 3, 10.0
+#: Bits of a letter in an n-gram's key; rarer letters are one.
+BITS = 9
 UNKNOWN, EDGE = 1, 2
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+def lower_words(text: str) -> list[str]:
+    return words_of(text.lower())
 
 
 class Alphabet:
@@ -119,70 +127,115 @@ class Ratio:
         return np.add.reduceat(value, np.cumsum(sizes) - sizes) / sizes
 
 
+class Words:
+    """Log-likelihood ratios of words and of pairs of words: toxic over ordinary."""
+
+    def __init__(self, rows: list[tuple[str, int]], discount: float = DISCOUNT, texts: int = TEXTS, order: int = ORDER):
+        counts, pairs, ids = (Counter(), Counter()), ([], []), {}
+        for text, y in rows:
+            words = lower_words(text)
+            counts[y].update(set(words))  # a text counts once
+            at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.uint64, count=len(words))
+            pairs[y].append(np.unique(at[:-1] << np.uint64(32) | at[1:]))
+        self.spelling = Ratio(counts[1], counts[0], order, discount)
+        vocabulary = list(ids)
+        c = [np.fromiter((k[w] for w in vocabulary), dtype=np.float64, count=len(ids)) for k in counts]
+        total = [max(x.sum(), 1.0) for x in c]
+        kinds = (c[0] > 0).astype(float) + (c[1] > 0)
+        size = len(ids)
+        shared = (np.maximum(kinds - discount, 0) + discount * size / (size + 1)) / max(kinds.sum(), 1.0)
+        p = [np.maximum(x - discount, 0) / n + discount * (x > 0).sum() / n * shared for x, n in zip(c, total)]
+        ratio = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300))
+        self.known = {w: r for w, r, n in zip(vocabulary, ratio.tolist(), (c[0] + c[1]).tolist()) if n >= LEAST}
+        self._pair(pairs, p, vocabulary, discount, texts)
+
+    def _pair(self, pairs, p, vocabulary, discount, texts) -> None:
+        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True) for x in pairs]
+        often = [(k[n > texts], n[n > texts].astype(float)) for k, n in found]
+        every = np.unique(np.concatenate([k for k, _ in often]))
+        first, second = (every >> np.uint64(32)).astype(np.int64), (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        logs = []
+        for (keys, n), (some, m), own in zip(found, often, p):
+            of = np.bincount((keys >> np.uint64(32)).astype(np.int64), n, len(vocabulary))  # texts of each first word
+            held = np.bincount((some >> np.uint64(32)).astype(np.int64), m - discount, len(vocabulary))
+            c = np.zeros(len(every))
+            c[np.searchsorted(every, some)] = m - discount
+            there = np.maximum(of[first], 1e-9)
+            p2 = np.where(of[first] > 0, c / there + (1 - held[first] / there) * own[second], own[second])
+            logs.append(np.log(np.maximum(p2, 1e-300)))
+        part = np.unique(np.r_[first, second])
+        self.members = {vocabulary[i]: k for k, i in enumerate(part.tolist())}
+        self.pairs = np.searchsorted(part, first) << 32 | np.searchsorted(part, second)
+        self.pair_ratio = logs[1] - logs[0]
+
+    def scores(self, words: list[str]) -> list[float]:
+        """Log-likelihood ratio of each word by itself."""
+        out = [self.known.get(w) for w in words]
+        new = [i for i, r in enumerate(out) if r is None]
+        if new:
+            rare = [words[i] for i in new]
+            sizes = np.fromiter(map(len, rare), dtype=np.float64, count=len(rare)) + 1
+            for i, r in zip(new, (SPELLING * self.spelling.scores(rare) * sizes).tolist()):
+                out[i] = r
+        return out
+
+
 class Scorer:
-    """Word scores by a bounded memory, and the features of a text."""
+    """A text's number, by a bounded memory of words."""
 
-    def __init__(self, ratio: Ratio):
-        self.ratio, self.seen = ratio, {}
+    def __init__(self, words: Words):
+        self.words, self.seen = words, {}
 
-    def of(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        if not words:
-            return np.zeros(FEATURES)
+    def ratios(self, words: list[str]) -> np.ndarray:
         get = self.seen.__getitem__
         try:
-            s = np.fromiter(map(get, words), dtype=np.float64, count=len(words))
+            r = np.fromiter(map(get, words), dtype=np.float64, count=len(words))
         except KeyError:
             new = [w for w in set(words) if w not in self.seen]
             if len(self.seen) + len(new) > REMEMBERED:
                 self.seen.clear()
                 new = list(set(words))
-            self.seen.update(zip(new, self.ratio.scores(new).tolist()))
-            s = np.fromiter(map(get, words), dtype=np.float64, count=len(words))
-        size = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) + 1
-        ll, width = s * size, min(WINDOW, len(words))
-        run, letters = np.cumsum(np.r_[0, ll]), np.cumsum(np.r_[0, size])
-        windows = (run[width:] - run[:-width]) / (letters[width:] - letters[:-width])
-        # A toxic stem's ratio counts whole, too, however long its endings are.
-        top, strong = -np.sort(-s)[:3], ll > STRONG
-        most = -np.sort(-np.minimum(ll, 12.0))[:3]
-        return np.array([
-            ll.sum() / size.sum(), top[0], top.mean(), windows.max(),
-            most[0], most.sum() / 3, np.log1p(strong.sum()), np.log1p(100 * strong.mean()),
-        ])
+            self.seen.update(zip(new, self.words.scores(new)))
+            r = np.fromiter(map(get, words), dtype=np.float64, count=len(words))
+        if len(self.words.pairs) and len(words) > 1:
+            member = self.words.members.get
+            at = np.fromiter((member(w, -1) for w in words), dtype=np.int64, count=len(words))
+            keys = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] << 32 | at[1:], -1)
+            spot = np.minimum(np.searchsorted(self.words.pairs, keys), len(self.words.pairs) - 1)
+            r[1:] = np.where(self.words.pairs[spot] == keys, self.words.pair_ratio[spot], r[1:])
+        return r
+
+    def of(self, text: str) -> float:
+        words = lower_words(text)
+        if not words:
+            return 0.0
+        r = np.clip(self.ratios(words), LOWEST, HIGHEST)
+        return float(np.arcsinh(SCALE * np.log1p(SHARE * np.expm1(r)).sum() / np.sqrt(len(words))))
 
 
 class Model:
     """Counts, calibration and scores; train() needs rows of both classes, else scores are a constant."""
 
-    def __init__(self, ratio, scale, weights, constant=0.0):
-        self.ratio, self.scale, self.weights, self.constant = ratio, scale, weights, constant
+    def __init__(self, words, weights, constant=0.0):
+        self.words, self.weights, self.constant = words, weights, constant
 
     @classmethod
     def train(cls, rows: list[tuple[str, int]]):
         ys = np.array([y for _, y in rows], dtype=float)
         if len(rows) < 8 or ys.min() == ys.max():
-            return cls(None, None, None, float(ys.mean()) if len(rows) else 0.0)
-        x = np.zeros((len(rows), FEATURES))
-        for part in (0, 1):  # features of each half by counts of the other
-            scorer = Scorer(cls.counts([r for i, r in enumerate(rows) if i % 2 != part]))
-            for i in range(part, len(rows), 2):
+            return cls(None, None, float(ys.mean()) if len(rows) else 0.0)
+        x = np.zeros((len(rows), 1))
+        for part in range(PARTS):  # numbers of each part by counts of the others
+            scorer = Scorer(Words([r for i, r in enumerate(rows) if i % PARTS != part]))
+            for i in range(part, len(rows), PARTS):
                 x[i] = scorer.of(rows[i][0])
-        scale = (x.mean(axis=0), x.std(axis=0) + 1e-9)
-        return cls(cls.counts(rows), scale, logistic((x - scale[0]) / scale[1], ys))
-
-    @staticmethod
-    def counts(rows) -> Ratio:
-        both = (Counter(), Counter())
-        for text, y in rows:
-            both[y].update(words_of(text))
-        return Ratio(both[1], both[0])
+        return cls(Words(rows), logistic(x, ys))
 
     def scores(self, texts: list[str], scorer: Scorer | None) -> np.ndarray:
-        if self.ratio is None:
+        if self.words is None:
             return np.full(len(texts), self.constant)
-        x = np.array([scorer.of(t) for t in texts]).reshape(len(texts), FEATURES)
-        return sigmoid(np.c_[(x - self.scale[0]) / self.scale[1], np.ones(len(x))] @ self.weights)
+        x = np.array([scorer.of(t) for t in texts], dtype=np.float64)
+        return sigmoid(x * self.weights[0] + self.weights[1])
 
 
 def classified(docs: DataFrame, make_scores, modulus: int, held_out: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -213,14 +266,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
 
     Labels are learnt from a sample of at most per_class texts of either class (see labelled.sample),
     never from held-out rows, and score() sees the text alone. Null texts are empty; a text without
-    words has the score of all-zero features. Without rows of both classes to learn from, every score
-    is the share of toxic ones among them (0 with none). A null id is not held out. No shuffle.
+    words has the score of a ratio of one. A run of more than 40 characters without white space counts as
+    overlapping pieces that cover it. Equal texts have equal scores; repeated rows and ids stay rows of
+    their own. Without rows of both classes to learn from, every score is the share of toxic ones among
+    them (0 with none). A null id is not held out. Other columns are not read. No shuffle.
     """
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast(Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col)))
 
     def make_scores():
-        scorer = Scorer(model.value.ratio)
+        scorer = Scorer(model.value.words)
         return lambda texts: model.value.scores(texts, scorer)
 
     return classified(docs, make_scores, modulus, held_out, threshold, id_col, text_col)

@@ -106,6 +106,70 @@ def test_ratio_equals_kneser_ney_by_hand():
         assert r.scores([w])[0] == pytest.approx(want)
 
 
+def test_word_ratios_by_hand():
+    """Words and pairs of words by a naive Kneser-Ney model with shared continuation counts, and the text's number."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [rnd.choice(["the", "of", "sun", "moon", "tide"]) for _ in range(30)]
+        if i % 3 == 0:
+            words[4:6] = ["go", "away"]
+            words.append("vile")
+        elif i % 3 == 1:
+            words[9:12] = ["go", "far", "away"]
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    model, d = toxicity.Words(rows), toxicity.DISCOUNT
+    texts = [[t.split() for t, y in rows if y == k] for k in (0, 1)]
+    counts = [Counter(w for t in ts for w in set(t)) for ts in texts]
+    pairs = [Counter(p for t in ts for p in set(zip(t, t[1:]))) for ts in texts]
+    kinds = Counter(w for c in counts for w in c)
+    size = len(kinds)
+
+    def word(w, k):
+        n = sum(counts[k].values())
+        shared = (max(kinds[w] - d, 0) + d * size / (size + 1)) / sum(kinds.values())
+        return max(counts[k][w] - d, 0) / n + d * len(counts[k]) / n * shared
+
+    def pair(a, b, k):
+        often = {p: n for p, n in pairs[k].items() if n > toxicity.TEXTS}
+        total = sum(n for (x, _), n in pairs[k].items() if x == a)
+        held = sum(n - d for (x, _), n in often.items() if x == a)
+        return (max(often.get((a, b), 0) - d, 0) + (total - held) * word(b, k)) / total if total else word(b, k)
+
+    shown = {p for c in pairs for p, n in c.items() if n > toxicity.TEXTS}
+    text = ["the", "go", "away", "sun", "go", "far", "vile"]
+    want = [np.log(word("the", 1) / word("the", 0))]
+    for a, b in zip(text, text[1:]):
+        p = [pair(a, b, k) if (a, b) in shown else word(b, k) for k in (0, 1)]
+        want.append(np.log(p[1] / p[0]))
+    scorer = toxicity.Scorer(model)
+    assert scorer.ratios(text) == pytest.approx(want)
+    assert want[2] > 2 > 0 > want[5] and want[6] > 2  # "go away" is a toxic phrase of ordinary words
+    mixture = sum(np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(min(x, 12))) for x in want) / len(text) ** 0.5
+    assert scorer.of(" ".join(text)) == pytest.approx(np.arcsinh(toxicity.SCALE * mixture))
+    rare = scorer.ratios(["vilest"])[0]
+    assert rare == pytest.approx(toxicity.SPELLING * 7 * model.spelling.scores(["vilest"])[0])
+
+
+def test_long_runs_count_as_a_whole():
+    from siftlake.llm.labelled import LONG, words_of
+
+    run = "".join(chr(0x4E00 + i % 3000) for i in range(400))
+    parts = words_of("a " + run + " b")
+    covered = parts[1]
+    for p in parts[2:-1]:
+        covered += p[next(k for k in range(len(p), -1, -1) if covered.endswith(p[:k])):]
+    assert parts[0] == "a" and parts[-1] == "b" and covered == run and max(map(len, parts)) <= LONG
+    assert words_of("x" * LONG) == ["x" * LONG] and words_of(" ") == []
+    assert quality.shape("!" * 20 + "ab" * 9) != quality.shape("!" * 20 + "ab" * 9 + "9") and len(quality.shape("a1" * 20)) == 40
+
+
+def test_sample_is_bounded_in_characters(spark):
+    docs, labels, _, _ = frames(spark)
+    got = sample(docs, labels, "toxic", 4, 2, 1000, chars=20_000)
+    assert 10_000 < sum(len(t) for t, _ in got) <= 20_000 and {y for _, y in got} == {0, 1}
+
+
 def test_temperature_and_pooling():
     v = quality.Vectors.learn([prose(200) for _ in range(5)])
     p = quality.Pooler(v)
