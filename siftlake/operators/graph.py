@@ -50,19 +50,24 @@ def neighbours(edges: DataFrame, node: str, direction: str = "both", rel_prefix:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def descendants(edges: DataFrame, root: str, rel: str = "subClassOf", depth: int = 64) -> DataFrame:
-    """(id, depth) of everything below root along rel (child -> parent edges); cycles end."""
+def descendants(edges: DataFrame, root: str, rel: str = "subClassOf", most: int | None = None) -> DataFrame:
+    """(id, depth) of everything below root along rel (child -> parent edges), to the last level; cycles end.
+
+    most bounds the levels; a graph that goes on below them raises.
+    """
     up = edges.filter(F.col("rel") == rel).select(F.col("src").alias("child"), F.col("dst").alias("id"))
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(root, 0)], "id string, depth int")
-    front = seen
-    for d in range(1, depth + 1):
+    seen = front = spark.createDataFrame([(root, 0)], "id string, depth int")
+    d = 0
+    while True:
+        d += 1
         new = front.join(up, "id").select(F.col("child").alias("id")).distinct().join(seen, "id", "left_anti")
         new = persisted(new.withColumn("depth", F.lit(d)))
         if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new), new
-    return seen
+            return seen
+        if most is not None and d > most:
+            raise RuntimeError(f"more than {most} levels below {root}")
+        seen, front = persisted(seen.unionByName(new)), new
 
 
 def paths(edges: DataFrame, source: str, target: str, hops: int = 6, most: int = 8, min_trust: float = 0.0, budget: int = 250_000) -> DataFrame:
@@ -70,7 +75,9 @@ def paths(edges: DataFrame, source: str, target: str, hops: int = 6, most: int =
 
     (path, rels, trust: that of the weakest edge, weakest_hop, length, crosses_inference), by trust,
     then length, then path. Each hop extends every open path; when more than `budget` are open, the
-    most trusted stay and `complete` is false.
+    most trusted stay and `complete` is false. What one task extends is cut to the budget before it is
+    written: only paths that at least `budget` others of the same task precede are left out, none of
+    which could stay.
     """
     both = edges.select("src", "dst", "rel", "trust").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "trust"))
     both = persisted(both.filter(F.col("trust") >= min_trust))
@@ -85,20 +92,23 @@ def paths(edges: DataFrame, source: str, target: str, hops: int = 6, most: int =
             F.least("so_far", "trust").alias("trust"), F.when(weaker | (F.col("weakest_hop") == 0), F.lit(hop)).otherwise(F.col("weakest_hop")).alias("weakest_hop"),
             F.col("dst").alias("src"),
         )
-        step = persisted(step)
-        found = step.filter(F.col("src") == target)
+        order = [F.desc("trust"), "path", "rels"]
+        found = persisted(step.filter(F.col("src") == target).orderBy(*order).limit(budget))
         done = found if done is None else done.unionByName(found)
-        open_ = step.filter(F.col("src") != target)
+        if hop == hops:
+            break
+        # One more than the budget tells whether there were more; limit() bounds what a task sends.
+        open_ = persisted(step.filter(F.col("src") != target).orderBy(*order).limit(budget + 1))
         n = open_.count()
         if n == 0:
             break
         if n > budget:
             complete = False
-            open_ = persisted(open_.orderBy(F.desc("trust"), "path").limit(budget))
+            open_ = persisted(open_.orderBy(*order).limit(budget))
     return done.select(
         "path", "rels", "trust", "weakest_hop", F.size("rels").alias("length"), (F.col("trust") <= WEAK).alias("crosses_inference"),
         F.lit(complete).alias("complete"),
-    ).orderBy(F.desc("trust"), "length", "path").limit(most)
+    ).orderBy(F.desc("trust"), "length", "path", "rels").limit(most)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -144,8 +154,8 @@ def coverage(nodes: DataFrame, edges: DataFrame, technique: str) -> DataFrame:
     return near.join(nodes.select("id", "ntype"), "id").groupBy("ntype").agg(F.count(F.lit(1)).alias("covered"), F.max("trust").alias("best"))
 
 
-def retrieve(edges: DataFrame, seeds: list[str], budget: int = 60, alias_rel: str = "sameAs", rounds: int = 20) -> DataFrame:
-    """(id) of the seeds, of the budget's share of each seed's neighbours in order of id, and of all aliases of these.
+def retrieve(edges: DataFrame, seeds: list[str], budget: int = 60, alias_rel: str = "sameAs") -> DataFrame:
+    """(id) of the seeds, of the budget's share of each seed's neighbours in order of id, and of all their aliases, along chains of any length.
 
     The cut per seed is the feature: what is retrieved is read by someone. A hub's neighbours are ranked
     within salted parts before the parts' best are ranked together, so no task sorts them all.
@@ -162,25 +172,82 @@ def retrieve(edges: DataFrame, seeds: list[str], budget: int = 60, alias_rel: st
     kept = persisted(start.select("id").unionByName(best.select("id")).distinct())
     alias = both.filter(F.col("rel") == alias_rel).select("src", F.col("dst").alias("id"))
     front = kept
-    for _ in range(rounds):
+    while True:
         front = persisted(alias.join(front.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct().join(kept, "id", "left_anti"))
         if front.isEmpty():
-            break
-        kept = kept.unionByName(front)
-    return kept
-
-
-def serialise(nodes: DataFrame, edges: DataFrame, kept: DataFrame, seeds: list[str], most_nodes: int = 60, most_edges: int = 120, structure: bool = True) -> str:
-    """Facts of the kept nodes, seeds first, then their relationships; both cut. Without structure only the facts."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in seeds]).cast("array<string>"), F.col("id")), F.lit(0))
-    order = [F.when(rank == 0, len(seeds) + 1).otherwise(rank), "id"]
-    shown = nodes.join(kept, "id", "left_semi").orderBy(*order).limit(most_nodes).select("id", "label").collect()
-    lines = ["FACTS:"] + [f"- {r['id']}: {r['label']}" for r in shown]
-    if structure:
-        ids = [r["id"] for r in shown]
-        inner = edges.filter(F.col("src").isin(ids) & F.col("dst").isin(ids)).select("src", "rel", "dst").distinct()
-        lines += ["RELATIONSHIPS:"] + [f"  {r['src']} --{r['rel']}--> {r['dst']}" for r in inner.orderBy("src", "rel", "dst").limit(most_edges).collect()]
-    return "\n".join(lines)
+            return kept
+        kept = persisted(kept.unionByName(front))
+
+
+def serialise(nodes: DataFrame, edges: DataFrame, kept: DataFrame, seeds: list[str], most_nodes: int = 60, most_edges: int = 120) -> DataFrame:
+    """(part, place, line): what is kept as lines to read, a row each: part 1 the nodes, part 2 the edges among them.
+
+    Nodes are the seeds in their order, then the others by id; a line is "id = label" or "src [rel] dst". The
+    caps are the feature: a reader has so much room. Lines are one ranked plan; nothing comes to the driver.
+    """
+    given = F.array(*[F.lit(s) for s in seeds]).cast("array<string>")
+    rank = F.coalesce(F.nullif(F.array_position(given, F.col("id")), F.lit(0).cast("long")), F.lit(len(seeds) + 1).cast("long"))
+    shown = nodes.join(kept, "id", "left_semi").withColumn("seed", rank).orderBy("seed", "id").limit(most_nodes)
+    shown = persisted(shown.withColumn("place", F.row_number().over(Window.orderBy("seed", "id"))))  # most_nodes rows
+    ends = F.broadcast(shown.select("id"))
+    inner = edges.select("src", "rel", "dst").join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    inner = inner.distinct().orderBy("src", "rel", "dst").limit(most_edges).withColumn("place", F.row_number().over(Window.orderBy("src", "rel", "dst")))
+    facts = shown.select(F.lit(1).alias("part"), "place", F.concat("id", F.lit(" = "), F.coalesce("label", F.lit(""))).alias("line"))
+    return facts.unionByName(inner.select(F.lit(2).alias("part"), "place", F.concat("src", F.lit(" ["), "rel", F.lit("] "), "dst").alias("line")))
+
+
+def event_graph(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the event store's seven tables: hosts, addresses, users, endpoints, domains, roles, assets and every event.
+
+    An event is a node of its own between who did it and what it touched; aliases of a machine are sameAs
+    edges. One select per kind, united; of a node that several tables name one row stays.
+    """
+    def name(kind: str, column: str):
+        return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+
+    nodes, edges = [], []
+
+    def node(table: str, kind: str, column: str, label=None, where: str = "true"):
+        df = tables[table].filter(where).filter(F.col(column).isNotNull())
+        text = label if label is not None else F.concat(F.lit(f"{kind} "), F.col(column).cast("string"))
+        nodes.append(df.select(name(kind, column).alias("id"), F.lit(kind).alias("ntype"), text.alias("label")))
+
+    def edge(table: str, src: tuple[str, str], rel: str, dst: tuple[str, str], where: str = "true"):
+        df = tables[table].filter(where).filter(F.col(src[1]).isNotNull() & F.col(dst[1]).isNotNull())
+        edges.append(df.select(name(*src).alias("src"), F.lit(rel).alias("rel"), name(*dst).alias("dst")))
+
+    node("asset", "host", "hostname")
+    node("asset", "ip", "ip")
+    node("asset", "asset", "canonical_asset")
+    edge("asset", ("host", "hostname"), "sameAs", ("ip", "ip"))
+    edge("asset", ("host", "hostname"), "sameAs", ("asset", "canonical_asset"))
+    events = {
+        "auth": (("user", "user_uid"), "authenticated", None, None, ["outcome", "is_remote"]),
+        "session": (("user", "user_uid"), "opened", ("host", "host"), "on_host", ["start_time", "end_time"]),
+        "network": (("host", "src_hostname"), "connected", ("ip", "dst_ip"), "to", ["dst_port", "bytes_out", "bytes_in", "duration"]),
+        "dns": (("host", "src_hostname"), "queried", ("domain", "query_hostname"), "resolves", []),
+        "process": (("host", "device_hostname"), "ran", None, None, ["image_name", "cmd_line"]),
+        "api": (("user", "actor_user_uid"), "called", ("service", "service"), "on_service", ["api_operation", "mfa_present"]),
+    }
+    for table, (who, did, what, touched, facts) in events.items():
+        label = F.concat_ws(" ", F.lit(table), *[F.concat(F.lit(f"{c} "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in facts])
+        node(table, table, "event_uid", label)
+        node(table, who[0], who[1])
+        edge(table, who, did, (table, "event_uid"))
+        if what:
+            node(table, what[0], what[1])
+            edge(table, (table, "event_uid"), touched, what)
+    node("api", "role", "actor_user_uid", where="api_operation = 'AssumeRole'")
+    edge("api", ("user", "actor_user_uid"), "assumed", ("role", "actor_user_uid"), where="api_operation = 'AssumeRole'")
+
+    def united(parts):
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    # The label of an id depends on its kind alone, but for events, whose ids are their own.
+    return united(nodes).groupBy("id", "ntype").agg(F.min("label").alias("label")), united(edges).distinct()
 
 
 def stages(steps: list[DataFrame], labels: list[DataFrame | None]) -> DataFrame:

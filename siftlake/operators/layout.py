@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.expressions import morton, scaled
+from siftlake.sources.formats import footer_rows
 
 
 def z_ordered(df: DataFrame, columns: list[str], partitions: int, bits: int = 16) -> DataFrame:
@@ -16,42 +17,31 @@ def z_ordered(df: DataFrame, columns: list[str], partitions: int, bits: int = 16
     return keyed.repartitionByRange(partitions, "_z").sortWithinPartitions("_z").drop("_z")
 
 
-def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """(file, row_group, rows, column, low, high, nulls) as footers have them; files are read by the tasks through Spark."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
+def row_groups(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    """(file, row_group, rows, column, low, high, nulls) as footers have them; tasks open each file and read its footer alone."""
 
-    def run(batches):
-        import io
+    def rows_of(name: str, meta):
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            for k in range(group.num_columns):
+                col = group.column(k)
+                if col.path_in_schema in columns:
+                    s = col.statistics
+                    has = s is not None and s.has_min_max
+                    yield {"file": name, "row_group": g, "rows": group.num_rows, "column": col.path_in_schema, "low": str(s.min) if has else None,
+                           "high": str(s.max) if has else None, "nulls": s.null_count if s is not None and s.has_null_count else None}
 
-        import pyarrow as pa
-        import pyarrow.parquet as pq
+    return footer_rows(spark, path, "file string, row_group int, rows long, column string, low string, high string, nulls long", rows_of)
 
-        for b in batches:
-            rows = []
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for k in range(group.num_columns):
-                        col = group.column(k)
-                        if col.path_in_schema in columns:
-                            s = col.statistics
-                            has = s is not None and s.has_min_max
-                            rows.append((name, g, group.num_rows, col.path_in_schema, str(s.min) if has else None, str(s.max) if has else None, s.null_count if s else None))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "row_group", "rows", "column", "low", "high", "nulls"])
 
-    return files.mapInArrow(run, "file string, row_group int, rows long, column string, low string, high string, nulls long")
-
-
-def may_match(low: Column, high: Column, op: str, values: list) -> Column:
-    """Whether a row group may hold a match; without statistics it may."""
-    lo, hi = low.cast("double"), high.cast("double")
+def may_match(low: Column, high: Column, op: str, values: list, kind: str = "double") -> Column:
+    """Whether a row group may hold a match; without statistics it may. kind: the type in which values are compared."""
+    lo, hi = low.cast(kind), high.cast(kind)
+    at = [F.lit(v).cast(kind) for v in values]
     tests = {
-        "eq": lambda: (lo <= values[0]) & (hi >= values[0]),
-        "range": lambda: (lo <= values[1]) & (hi >= values[0]),
-        "in": lambda: F.exists(F.array(*[F.lit(float(v)) for v in values]), lambda v: (v >= lo) & (v <= hi)),
+        "eq": lambda: (lo <= at[0]) & (hi >= at[0]),
+        "range": lambda: (lo <= at[1]) & (hi >= at[0]),
+        "in": lambda: F.exists(F.array(*at), lambda v: (v >= lo) & (v <= hi)),
     }
     return F.coalesce(tests[op](), F.lit(True))
 

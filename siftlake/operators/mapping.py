@@ -172,3 +172,17 @@ def probes(emitted: DataFrame, expectations: DataFrame, key: str) -> DataFrame:
     value = F.expr("get_json_object(_record, concat('$.', path))")
     kept = F.when(F.col("wanted").isNull(), value.isNotNull()).otherwise(F.coalesce(value == F.col("wanted"), F.lit(False)))
     return both.groupBy("probe").agg(F.count(F.lit(1)).alias("records"), F.count_if(~kept).alias("lost"))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two JSON texts have the same value: numbers are equal by value, booleans equal booleans alone, objects
+    whatever the order of their keys, arrays in order."""
+    return _canonical(a).eqNullSafe(_canonical(b))
+
+
+def _canonical(text: Column) -> Column:
+    """JSON with sorted keys and one way to write a number; parsing sorts the keys of a variant."""
+    plain = F.to_json(F.try_parse_json(text))
+    # Outside of strings: a decimal point with zeros alone after it goes.
+    parts = F.split(plain, r'(?<!\\)"', -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"(\d)\.0+(?!\d)", "$1")).otherwise(x)), '"')

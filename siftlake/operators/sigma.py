@@ -144,9 +144,9 @@ def correlate(events: DataFrame, correlation: dict, time: str = "time_s", rule:
     if kind == "event_count":
         hit = F.count(F.lit(1)).over(back) >= correlation["condition"]["gte"]
     elif kind == "value_count":
-        hit = F.size(F.collect_set(correlation["condition"]["field"]).over(back)) >= correlation["condition"]["gte"]
+        return _kinds_within(rows, by, correlation["condition"]["field"], time, span, correlation["condition"]["gte"])
     elif kind == "temporal":
-        hit = F.size(F.collect_set(rule).over(back)) == len(set(rules))
+        return _kinds_within(rows, by, rule, time, span, len(set(rules)))
     elif kind == "temporal_ordered":
         # The latest chance of each step: the greatest start of a chain that has got so far.
         starts = None
@@ -165,6 +165,46 @@ def correlate(events: DataFrame, correlation: dict, time: str = "time_s", rule:
     return rows.withColumn("_hit", hit).filter("_hit").groupBy(*by).agg(F.min(time).alias("at"))
 
 
+def _kinds_within(rows: DataFrame, by: list[str], kind: str, time: str, span: int, least: int) -> DataFrame:
+    """The first second at which the last `span` seconds hold `least` kinds, by group.
+
+    A kind is present from an event until `span` after it; where no event of its follows by then, it goes.
+    The number of kinds is a running sum of comings and goings, so no task gathers what a window holds.
+    """
+    seen = rows.filter(F.col(kind).isNotNull()).select(*by, F.col(kind).alias("_kind"), F.col(time).alias("_t")).distinct()
+    own = Window.partitionBy(*by, "_kind").orderBy("_t")
+    seen = seen.withColumn("_before", F.lag("_t").over(own)).withColumn("_after", F.lead("_t").over(own))
+    comes = seen.filter(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > span)).select(*by, "_t", F.lit(1).alias("_d"))
+    goes = seen.filter(F.col("_after").isNull() | (F.col("_after") - F.col("_t") > span)).select(*by, (F.col("_t") + span + 1).alias("_t"), F.lit(-1).alias("_d"))
+    steps = comes.unionByName(goes).groupBy(*by, "_t").agg(F.sum("_d").alias("_d"))
+    upto = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumn("_n", F.sum("_d").over(upto)).filter(F.col("_n") >= least).groupBy(*by).agg(F.min("_t").alias("at"))
+
+
+def techniques(tags: Column) -> Column:
+    """The base techniques (t1059) that a rule's tags (attack.t1059.001) name, each once, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(tags, " ")), F.lit(r"\b(t\d{4})"), F.lit(1))))
+
+
+def recall_loss(full: DataFrame, coarse: DataFrame, rules: dict[str, dict], groups: dict[str, str]) -> DataFrame:
+    """What rules lose on a coarse store: a row per group of rules, from one pass over each store.
+
+    (grp, fired: rules with matches on the full store, mean_loss: of the share of matches gone, over-matches
+    counting as no loss, blind: rules without any match left, over_matched, mean_signed).
+    """
+    def counted(store: DataFrame, name: str) -> DataFrame:
+        flags = [F.struct(F.lit(n).alias("rule"), F.coalesce(compile_rule(r), F.lit(False)).alias("hit")) for n, r in rules.items()]
+        return store.select(F.explode(F.array(*flags)).alias("f")).groupBy("f.rule").agg(F.count_if("f.hit").alias(name))
+
+    group = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
+    both = counted(full, "n").join(counted(coarse, "m"), "rule", "left").filter("n > 0").select(group[F.col("rule")].alias("grp"), "n", F.coalesce("m", F.lit(0)).alias("m"))
+    loss = 1 - F.col("m") / F.col("n")
+    return both.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("fired"), F.avg(F.greatest(loss, F.lit(0.0))).alias("mean_loss"), F.count_if(F.col("m") == 0).alias("blind"),
+        F.count_if(F.col("m") > F.col("n")).alias("over_matched"), F.avg(loss).alias("mean_signed"),
+    )
+
+
 def score(events: DataFrame, rules: dict[str, Column], needle: Column) -> DataFrame:
     """A row per rule: matches, true positives, needles, in one pass over the events."""
     flags = [F.struct(F.lit(n).alias("rule"), c.alias("hit")) for n, c in rules.items()]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.expressions import ipv4, morton
+from siftlake.functions.expressions import ipv4, morton, row_digest
 from siftlake.operators import components, graph, layout, mapping, panels, payloads, scoring, sigma, triples, workload
 from siftlake.sources import formats
 from siftlake.sources.logtable import LogTable
@@ -106,8 +106,8 @@ def entity_resolution(spark, sf_dir):
 TRUST = {"exact": 1.0, "curated": 0.9, "derived": 0.6, "inferred": 0.25}
 
 
-def concept_graph(spark, sf_dir, buyers="true"):
-    """Regions, nations and market segments as concepts; trust by the kind of edge. buyers: whose edges count."""
+def concept_graph(spark, sf_dir):
+    """Regions, nations and market segments as concepts; trust by the kind of edge."""
     nation, region, customer = (scan(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     nodes = graph.merge_nodes([
         region.select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.lit("region").alias("ntype"), F.col("r_name").alias("label")),
@@ -115,7 +115,7 @@ def concept_graph(spark, sf_dir, buyers="true"):
         customer.select(F.concat(F.lit("s:"), "c_mktsegment").alias("id"), F.lit("segment").alias("ntype"), F.col("c_mktsegment").alias("label")).distinct(),
     ])
     up = nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("src"), F.concat(F.lit("r:"), "n_regionkey").alias("dst"), F.lit("subClassOf").alias("rel"), F.lit("exact").alias("trust_class"))
-    buys = customer.filter(buyers).select(
+    buys = customer.select(
         F.concat(F.lit("n:"), "c_nationkey").alias("src"), F.concat(F.lit("s:"), "c_mktsegment").alias("dst"), F.lit("buysIn").alias("rel"),
         F.when(F.col("c_custkey") % 3 == 0, "inferred").when(F.col("c_custkey") % 3 == 1, "derived").otherwise("unheard").alias("trust_class"),
     )
@@ -129,13 +129,21 @@ def graph_descendants(spark, sf_dir):
 
 @query("""SELECT DISTINCT 'in' AS direction, concat('n:', CAST(c_nationkey AS STRING)) AS id, 'buysIn' AS rel,
 CAST(CASE WHEN c_custkey % 3 = 0 THEN 0.25 WHEN c_custkey % 3 = 1 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS trust
-FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0""")
+FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0""")
 def graph_neighbours(spark, sf_dir):
-    """Of the customers that the SQL names."""
-    return graph.neighbours(concept_graph(spark, sf_dir, "c_acctbal > 9000")[1], "s:BUILDING", "both", "buys", 0.3)
-
-
-@query()
+    return graph.neighbours(concept_graph(spark, sf_dir)[1], "s:BUILDING", "both", "buys", 0.3)
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT concat('n:', CAST(n_nationkey AS STRING)) AS a, concat('r:', CAST(n_regionkey AS STRING)) AS b, 'subClassOf' AS rel, CAST(1.0 AS DOUBLE) AS trust FROM nation
+  UNION SELECT concat('n:', CAST(c_nationkey AS STRING)), concat('s:', c_mktsegment), 'buysIn', CAST(CASE c_custkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.6 ELSE 0.3 END AS DOUBLE) FROM customer),
+both_ways AS (SELECT a, b, rel, trust FROM e UNION ALL SELECT b, a, rel, trust FROM e),
+walk AS (
+  SELECT 'r:1' AS spot, 'r:1' AS path, '' AS rels, CAST(1.0 AS DOUBLE) AS trust, 0 AS weakest_hop, 0 AS length
+  UNION ALL SELECT w.b, concat(k.path, ' > ', w.b), CASE WHEN k.length = 0 THEN w.rel ELSE concat(k.rels, ',', w.rel) END, least(k.trust, w.trust),
+    CASE WHEN w.trust < k.trust OR k.weakest_hop = 0 THEN k.length + 1 ELSE k.weakest_hop END, k.length + 1
+  FROM walk k JOIN both_ways w ON w.a = k.spot WHERE k.spot <> 'r:2' AND k.length < 4 AND NOT contains(concat(k.path, ' > '), concat(w.b, ' > ')))
+SELECT path, rels, trust, weakest_hop, length, trust <= 0.25 AS crosses_inference, true AS complete FROM walk WHERE spot = 'r:2' ORDER BY trust DESC, length, path, rels LIMIT 8""")
 def graph_paths(spark, sf_dir):
     found = graph.paths(concept_graph(spark, sf_dir)[1], "r:1", "r:2", hops=4)
     return found.withColumn("path", F.array_join("path", " > ")).withColumn("rels", F.array_join("rels", ","))
@@ -202,19 +210,29 @@ def zorder_keys(spark, sf_dir):
     return df.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), key.alias("z"))
 
 
-@query()
+@query("""SELECT layout, column_name, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, n, true AS pruned FROM (VALUES ('unordered'), ('zorder')) l(layout),
+  (SELECT 'l_partkey' AS column_name, min(l_partkey) AS low, max(l_partkey) AS high, count(*) FILTER (WHERE l_partkey BETWEEN 1 AND 20) AS n FROM lineitem
+   UNION ALL SELECT 'l_suppkey', min(l_suppkey), max(l_suppkey), count(*) FILTER (WHERE l_suppkey BETWEEN 1 AND 20) FROM lineitem) c""")
 def zorder_pruning(spark, sf_dir):
-    """Share of row groups that a two-dimensional predicate may skip, unordered against z-ordered."""
+    """Footers of an unordered and a z-ordered copy: bounds of two columns, the matches of a range in the row groups
+    that pruning keeps (all there are), and whether z-order prunes no less than no order does."""
     df = scan(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
-    out = None
+    parts, skipped = [], {}
     for name, data in (("unordered", df.repartition(16)), ("zorder", layout.z_ordered(df, ["l_partkey", "l_suppkey"], 16))):
         path = scratch(spark, f"layout-{name}")
         data.write.parquet(path)
-        stats = layout.row_groups(spark, path, ["l_partkey"])
-        part = stats.agg(F.count(F.lit(1)).alias("groups"), F.count_if(~layout.may_match(F.col("low"), F.col("high"), "range", [1, 20])).alias("skipped"))
-        part = part.select(F.lit(name).alias("layout"), "groups", "skipped")
-        out = part if out is None else out.unionByName(part)
-    return out
+        stats = layout.row_groups(spark, path, ["l_partkey", "l_suppkey"]).withColumn("kept", layout.may_match(F.col("low"), F.col("high"), "range", [1, 20], "long"))
+        for c in ("l_partkey", "l_suppkey"):
+            own = stats.filter(F.col("column") == c)
+            held = spark.read.parquet(path).select(c, F.col("_metadata.file_path").alias("file"))
+            matches = held.filter(F.col(c).between(1, 20)).join(own.filter("kept").select("file").distinct(), "file", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+            bounds = own.agg(F.min(F.col("low").cast("long")).alias("low"), F.max(F.col("high").cast("long")).alias("high"), F.count_if(~F.col("kept")).alias("skipped"))
+            parts.append(bounds.crossJoin(matches).select(F.lit(name).alias("layout"), F.lit(c).alias("column_name"), "low", "high", "n", "skipped"))  # one row each
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    floor = Window.partitionBy("column_name")
+    return out.withColumn("pruned", F.max(F.when(F.col("layout") == "unordered", F.col("skipped"))).over(floor) <= F.max(F.when(F.col("layout") == "zorder", F.col("skipped"))).over(floor)).drop("skipped")
 
 
 @query("WITH {soc} SELECT uid, CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(src_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(src_ip, '.', 4) AS BIGINT) AS ip FROM soc")
@@ -224,11 +242,14 @@ def fn_ipv4_expression(spark, sf_dir):
 
 @query("WITH {soc} SELECT dst_port, count(*) AS n, CAST(sum(bytes_out) AS BIGINT) AS bytes FROM soc WHERE NOT (uid % 5 < 3 AND dst_port = 53) GROUP BY dst_port")
 def logtable_history(spark, sf_dir):
-    """Appends, a delete, a small inlined append, compaction and expiry; then the rows that are left."""
+    """Appends of files and of rows inlined in the log, a delete from both, compaction and expiry; then the rows that are left."""
     rows = soc(spark, sf_dir).select("uid", "dst_port", "bytes_out")
-    t = LogTable(spark, scratch(spark, "log"), inline_rows=0)
+    t = LogTable(spark, scratch(spark, "log"), inline_rows=20, inline_total=40)
     for k in range(3):
-        t.append(rows.filter(F.col("uid") % 5 == k))
+        large = rows.filter((F.col("uid") % 5 == k) & (F.col("uid") >= 60))
+        t.append(large)
+        for low in (0, 20, 40):  # small appends: inlined, and moved into files beyond 40 rows
+            t.append(rows.filter((F.col("uid") % 5 == k) & F.col("uid").between(low, low + 19)))
     t.delete(F.col("dst_port") == 53)
     t.append(rows.filter(F.col("uid") % 5 >= 3))
     t.compact(2, ["uid"])
@@ -305,12 +326,22 @@ def stream_panel(spark, sf_dir):
     return spark.read.schema("user_id long, n long").parquet(out).groupBy("user_id").agg(F.max("n").alias("n"))
 
 
-@query()
+@query("""WITH {soc}, e AS (SELECT DISTINCT user_id, sec, activity FROM soc WHERE activity IN ('signup', 'error', 'purchase')),
+two AS (SELECT b.user_id, b.sec, max(a.sec) AS start FROM e a JOIN e b ON a.user_id = b.user_id AND a.sec < b.sec AND b.sec - a.sec <= 86400
+  WHERE a.activity = 'signup' AND b.activity = 'error' GROUP BY b.user_id, b.sec)
+SELECT CAST(c.user_id AS STRING) AS key, max(two.start) AS start, c.sec AS at FROM e c JOIN two ON two.user_id = c.user_id AND two.sec < c.sec AND c.sec - two.start <= 86400
+WHERE c.activity = 'purchase' GROUP BY c.user_id, c.sec""")
 def stream_ordered_sequences(spark, sf_dir):
-    path, schema = _event_files(spark, sf_dir)
-    out = scratch(spark, "sequences")
-    # All files in one batch: a batch is taken in order of time, batches in the order of their files.
-    stream = streams.ordered_sequences(streams.file_stream(spark, path, schema, 10_000), "ts", "user_id", "event_type", ["signup", "error", "purchase"], 86400)
+    """Sequences over several batches whose events overlap in time; a last event far ahead lets the watermark pass all."""
+    events = scan(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    path, out = scratch(spark, "event-files"), scratch(spark, "sequences")
+    # Four batches: each has a part of the events of the time that it is about, and the rest of those of an hour before.
+    hour = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600
+    dealt = events.withColumn("batch", F.ntile(4).over(Window.orderBy((hour + F.pmod(F.xxhash64("ts", "user_id"), F.lit(2))).cast("long"))))
+    for k in range(1, 5):
+        dealt.filter(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    events.agg((F.max("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts")).select("ts", F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type")).write.mode("append").parquet(path)
+    stream = streams.ordered_sequences(streams.file_stream(spark, path, spark.read.parquet(path).schema), "ts", "user_id", "event_type", ["signup", "error", "purchase"], 86400, 3 * 3600)
     streams.drain(stream, out, scratch(spark, "ckpt"))
     return spark.read.schema("key string, start long, at long").parquet(out)
 
@@ -324,9 +355,14 @@ def batch_sessions(spark, sf_dir):
     return out.select("user_id", "n", "first_us")
 
 
-@query("WITH {soc} SELECT count(*) AS n, CAST(sum(uid) AS BIGINT) AS ids, min(time) AS low, max(time) AS high FROM soc")
+@query("WITH {soc} SELECT tenant_id, count(*) AS n, true AS same FROM soc GROUP BY tenant_id")
 def fingerprint_by_aggregates(spark, sf_dir):
-    return soc(spark, sf_dir).repartition(7).agg(F.count(F.lit(1)).alias("n"), F.sum("uid").alias("ids"), F.min("time").alias("low"), F.max("time").alias("high"))
+    """Digests of each tenant's rows that do not depend on how the rows are dealt or ordered."""
+    rows = soc(spark, sf_dir)
+    cols = [F.col(c) for c in ("uid", "time", "src_ip", "dst_ip", "bytes_out")]
+    one = rows.groupBy("tenant_id").agg(row_digest(*cols).alias("one"), F.count(F.lit(1)).alias("n"))
+    other = rows.orderBy(F.desc("bytes_out")).repartition(7).groupBy("tenant_id").agg(row_digest(*cols).alias("other"))
+    return one.join(other, "tenant_id").select("tenant_id", "n", (F.col("one") == F.col("other")).alias("same"))
 
 
 @query("""WITH d AS (SELECT CAST(o_totalprice * 100 AS BIGINT) AS v FROM orders)
@@ -434,9 +470,11 @@ def score_bands(spark, sf_dir):
     return got.select("dst_port", "n", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"), "least", "most")
 
 
-@query()
+@query("""SELECT shape, count(*) AS runs, 0 AS failures, true AS measured FROM (VALUES ('load_enrichment'), ('load_indicators'), ('load_port_scan'),
+  ('load_long_duration'), ('load_scan_aggregate'), ('load_rollup'), ('probe'), ('probe'), ('probe')) t(shape) GROUP BY shape""")
 def load_under_schedule(spark, sf_dir):
-    """Latencies of the scheduled load and of the probe beside it, measured from when each query was due."""
+    """The scheduled load and the probe beside it: runs and failures by shape, and whether latencies, measured from when
+    each query was due, are in order (0 < p50 <= p95 <= p99 <= worst). The probe's port is bound anew for each run."""
     from .questions import LOAD
 
     def shape(name):
@@ -444,5 +482,8 @@ def load_under_schedule(spark, sf_dir):
 
     names = [n for n in LOAD if n != "load_probe"]
     due = workload.schedule(names, 3.0, 1, 1.0)
-    asked = {n: shape(n) for n in names} | {"probe": lambda chance: shape("load_probe")(chance).filter(F.col("conns") >= chance.choice([0, 1]))}
-    return workload.latencies(workload.drive(spark, due, asked))
+    probe = both(LOAD["load_probe"].replace("dst_port = 443", "dst_port = :port"))[0]
+    asked = {n: shape(n) for n in names} | {"probe": lambda chance: run_sql(spark, sf_dir, probe, {"port": chance.choice([22, 53, 80, 443, 3389])})}
+    out = workload.latencies(workload.drive(spark, due, asked))
+    ordered = F.coalesce((F.col("p50") > 0) & (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99")) & (F.col("p99") <= F.col("worst")), F.lit(False))
+    return out.select("shape", "runs", F.col("failures").cast("int").alias("failures"), ordered.alias("measured"))

@@ -14,6 +14,8 @@ SPARK = {
     "half_even": "CAST(bround(time / 300000.0) AS BIGINT) * 300000",
     "sorted_ports": "array_join(array_sort(collect_set(dst_port)), ',')",
     "ordered_lines": "listagg(line, '|') WITHIN GROUP (ORDER BY line)",
+    "nested": "named_struct('ip', src_ip, 'port', CAST(20000 + uid % 20 * 1000 AS INT)) AS src_endpoint, named_struct('ip', dst_ip, 'port', dst_port) AS dst_endpoint, CASE WHEN uid % 4 = 0 THEN array(named_struct('type_id', 2, 'value', src_ip), named_struct('type_id', 21, 'value', activity), named_struct('type_id', 4, 'value', proto)) ELSE array(named_struct('type_id', 2, 'value', src_ip)) END AS observables",
+    "size": "size", "any21": "exists(observables, x -> x.type_id = 21)", "any2": "exists(observables, x -> x.type_id = 2)",
 }
 DUCK = {
     "ms": "epoch_us(ts) // 1000",
@@ -22,6 +24,8 @@ DUCK = {
     "half_even": "CAST(CAST(time AS DOUBLE) / 300000 AS BIGINT) * 300000",
     "sorted_ports": "array_to_string(list_sort(list(DISTINCT dst_port)), ',')",
     "ordered_lines": "string_agg(line, '|' ORDER BY line)",
+    "nested": "{'ip': src_ip, 'port': CAST(20000 + uid % 20 * 1000 AS INT)} AS src_endpoint, {'ip': dst_ip, 'port': dst_port} AS dst_endpoint, CASE WHEN uid % 4 = 0 THEN [{'type_id': 2, 'value': src_ip}, {'type_id': 21, 'value': activity}, {'type_id': 4, 'value': proto}] ELSE [{'type_id': 2, 'value': src_ip}] END AS observables",
+    "size": "len", "any21": "len(list_filter(observables, lambda x: x.type_id = 21)) > 0", "any2": "len(list_filter(observables, lambda x: x.type_id = 2)) > 0",
 }
 
 #: The event table as the security operators see it: a flat network and authentication log.

@@ -33,7 +33,6 @@ AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2
 AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
 GROUP BY s.s_name ORDER BY numwait DESC, s.s_name LIMIT 100""",
     "join_dim_enrichment": "SELECT n.n_name AS site, c.c_mktsegment AS dept, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, c.c_mktsegment",
-    "join_large_large": "WITH {soc} SELECT count(*) AS pairs, count(DISTINCT a.src_ip) AS hosts FROM soc a JOIN soc b ON a.src_ip = b.src_ip AND a.sec {div} 300 = b.sec {div} 300 WHERE a.activity = 'click' AND b.activity = 'purchase'",
     "join_two_streams": "WITH {soc}, e AS (SELECT src_ip, count(*) AS errors FROM soc WHERE activity = 'error' GROUP BY src_ip HAVING count(*) >= 5), v AS (SELECT src_ip, count(*) AS views FROM soc WHERE activity = 'view' GROUP BY src_ip HAVING count(*) >= 5) SELECT e.src_ip, errors, views FROM e JOIN v ON e.src_ip = v.src_ip",
     "join_ioc_semi": "SELECT l_shipdate, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) GROUP BY l_shipdate",
     "join_tax_flat": "WITH flat AS (SELECT l_quantity, l_partkey % 10 AS k FROM lineitem) SELECT k, CAST(sum(l_quantity) AS BIGINT) AS q FROM flat GROUP BY k",
@@ -41,7 +40,6 @@ GROUP BY s.s_name ORDER BY numwait DESC, s.s_name LIMIT 100""",
     "join_left_coalesce": "WITH {soc}, a AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 22 GROUP BY user_id), b AS (SELECT user_id, max(bytes_out) AS v FROM soc WHERE dst_port = 53 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM soc) SELECT u.user_id, coalesce(a.v, b.v, -1) AS picked FROM u LEFT JOIN a ON u.user_id = a.user_id LEFT JOIN b ON u.user_id = b.user_id",
     "join_left_degenerate": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 100000 AND o.o_orderstatus = 'P'",
     "join_shared_keys": "WITH {soc}, keys AS (SELECT DISTINCT activity AS source, user_id, time {div} 60000 AS key_value FROM soc) SELECT a.user_id AS u, b.user_id AS v, a.key_value FROM keys a JOIN keys b ON a.key_value = b.key_value AND a.source < b.source",
-    "join_temporal_range": "WITH {soc}, alerts AS (SELECT uid, src_ip, time FROM soc WHERE activity = 'error') SELECT a.uid AS alert, n.uid AS flow, n.time - a.time AS lag_ms FROM alerts a JOIN soc n ON n.src_ip = a.src_ip AND n.time BETWEEN a.time AND a.time + 300000 WHERE n.uid <> a.uid",
     "join_alias_resolution": "WITH {soc}, dns AS (SELECT DISTINCT src_ip, concat('host', CAST(user_id AS STRING)) AS hostname FROM soc) SELECT s.uid, d.hostname FROM soc s JOIN dns d ON s.src_ip = d.src_ip WHERE s.dst_port = 3389 UNION SELECT s.uid, d.hostname FROM soc s JOIN dns d ON concat('host', CAST(s.user_id AS STRING)) = d.hostname WHERE s.dst_port = 3389",
     "join_gold_coverage": "WITH {soc}, gold AS (SELECT uid, bytes_out FROM soc), emitted AS (SELECT uid, CASE WHEN uid % 9 = 0 THEN bytes_out + 1 ELSE bytes_out END AS bytes_out FROM soc WHERE activity <> 'view') SELECT count(*) AS gold, count(e.uid) AS covered, count(*) FILTER (WHERE g.bytes_out = e.bytes_out) AS equal FROM gold g LEFT JOIN emitted e ON g.uid = e.uid",
     "graph_star_coverage": "SELECT r.r_name, count(DISTINCT n.n_nationkey) AS nations, count(DISTINCT c.c_custkey) AS customers, count(DISTINCT o.o_orderkey) AS orders FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY r.r_name",

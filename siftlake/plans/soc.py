@@ -34,13 +34,12 @@ PACK = {
     "agg_variation": "WITH {soc} SELECT user_id, round(stddev_pop(bytes_out) / avg(bytes_out), 4) AS cv, round(stddev_samp(bytes_out), 2) AS sd FROM soc GROUP BY user_id HAVING count(*) > 1",
     "agg_span_and_mean": "WITH {soc} SELECT src_ip, dst_ip, count(*) AS n, max(time) - min(time) AS span FROM soc GROUP BY src_ip, dst_ip HAVING count(*) >= 2 AND max(time) - min(time) BETWEEN 1000 AND 1728000000 AND avg(bytes_out) < 20000",
     "agg_of_aggregates": "WITH {soc}, b AS (SELECT src_ip, time {div} 300000 AS bucket, count(*) AS n, sum(bytes_out) AS bytes FROM soc GROUP BY src_ip, time {div} 300000) SELECT src_ip, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS buckets FROM b GROUP BY src_ip",
-    "agg_median_mode": "WITH {soc} SELECT dst_port, CAST(median(bytes_out) * 2 AS BIGINT) AS twice_median FROM soc GROUP BY dst_port",
+    "agg_median_mode": "WITH {soc}, ranked AS (SELECT dst_port, user_id, row_number() OVER (PARTITION BY dst_port ORDER BY count(*) DESC, user_id) AS r FROM soc GROUP BY dst_port, user_id) SELECT s.dst_port, CAST(median(s.bytes_out) * 2 AS BIGINT) AS twice_median, max(m.user_id) AS mode_user FROM soc s JOIN ranked m ON m.dst_port = s.dst_port AND m.r = 1 GROUP BY s.dst_port",
     "agg_bool_or": "WITH {soc} SELECT user_id, bool_or(status_id = 2) AS failed, bool_and(bytes_out > 0) AS all_sent FROM soc GROUP BY user_id",
     # Windows
     "window_gap_lag": "WITH {soc} SELECT uid, src_ip, time - lag(time) OVER (PARTITION BY src_ip ORDER BY time, uid) AS gap FROM soc",
     "window_best_per_group": "WITH {soc} SELECT src_ip, uid, bytes_out FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY bytes_out DESC, uid) AS r FROM soc) t WHERE r = 1",
     "window_over_aggregate": "WITH {soc} SELECT src_ip, dst_port, n FROM (SELECT src_ip, dst_port, n, row_number() OVER (PARTITION BY src_ip ORDER BY n DESC, dst_port) AS r FROM (SELECT src_ip, dst_port, count(*) AS n FROM soc GROUP BY src_ip, dst_port) a) t WHERE r = 1",
-    "window_dense_ids": "WITH {soc}, labels AS (SELECT DISTINCT src_ip FROM soc), ids AS (SELECT src_ip, CAST(dense_rank() OVER (ORDER BY src_ip) AS INT) AS id FROM labels) SELECT s.uid, i.id FROM soc s JOIN ids i ON s.src_ip = i.src_ip",
     "window_sliding_count": "WITH {soc} SELECT uid, count(*) OVER (PARTITION BY src_ip ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour FROM soc",
     # Sets
     "set_union_typed_nulls": "WITH {soc} SELECT time, class_uid, src_ip, CAST(NULL AS BIGINT) AS bytes, activity FROM soc WHERE class_uid = 3002 UNION ALL SELECT time, class_uid, CAST(NULL AS STRING), bytes_out, CAST(NULL AS STRING) FROM soc WHERE class_uid = 4001",

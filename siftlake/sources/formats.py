@@ -85,34 +85,87 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """A row per column chunk: file, row_group, rows, column, physical type, codec, encodings, bytes, whether it has a Bloom filter.
+def footer_rows(spark: SparkSession, path: str | list[str], schema: str, rows_of) -> DataFrame:
+    """What rows_of(file, footer) yields (dicts) for each Parquet file below path, or of a list of files.
 
-    Tasks read the files through Spark, one file at a time.
+    Files are listed without their content, dealt to tasks, and only their footers are read there.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "content")
-    schema = "file string, row_group int, rows long, column string, type string, codec string, encodings array<string>, bytes long, raw_bytes long"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
 
     def run(batches):
-        import io
-
         import pyarrow as pa
         import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("rows", pa.int64()), ("column", pa.string()), ("type", pa.string()),
-                           ("codec", pa.string()), ("encodings", pa.list_(pa.string())), ("bytes", pa.int64()), ("raw_bytes", pa.int64())])
+        kinds = to_arrow_schema(parsed)
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                meta, rows = pq.read_metadata(io.BytesIO(content)), []
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for k in range(group.num_columns):
-                        c = group.column(k)
-                        rows.append({"file": name, "row_group": g, "rows": group.num_rows, "column": c.path_in_schema, "type": c.physical_type, "codec": c.compression,
-                                     "encodings": sorted(set(c.encodings)), "bytes": c.total_compressed_size, "raw_bytes": c.total_uncompressed_size})
+            for name in b.column("path").to_pylist():
+                fs, where = _place(name)
+                with fs.open_input_file(where) as f:
+                    rows = list(rows_of(name, pq.read_metadata(f)))
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return found.mapInArrow(run, schema)
+    parsed = T.StructType.fromDDL(schema)
+    return found.repartition(max(1, min(found.count(), 10_000))).mapInArrow(run, parsed)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """A row per column chunk: file, row_group, rows, column, physical type, codec, encodings, bytes packed and raw."""
+
+    def rows_of(name: str, meta):
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            for k in range(group.num_columns):
+                c = group.column(k)
+                yield {"file": name, "row_group": g, "rows": group.num_rows, "column": c.path_in_schema, "type": c.physical_type, "codec": c.compression,
+                       "encodings": sorted(set(c.encodings)), "bytes": c.total_compressed_size, "raw_bytes": c.total_uncompressed_size}
+
+    return footer_rows(spark, path, "file string, row_group int, rows long, column string, type string, codec string, encodings array<string>, bytes long, raw_bytes long", rows_of)
+
+
+def write_encoded(df: DataFrame, path: str, encodings: dict[str, str]) -> DataFrame:
+    """df as Parquet files whose columns have the encodings asked for (PLAIN, RLE_DICTIONARY, DELTA_BINARY_PACKED, ...).
+
+    Spark's writer picks encodings itself, so tasks write by Arrow; (file, rows) when it is run. A task's file
+    is moved into place when it is whole.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        fs, folder = _place(path)
+        fs.create_dir(folder)
+        final, rows = f"{folder}/part-{TaskContext.get().partitionId():05d}.parquet", 0
+        part, b = f"{folder}/_{uuid.uuid4().hex}", head
+        dictionary = [c for c, e in encodings.items() if e == "RLE_DICTIONARY"]
+        forced = {c: e for c, e in encodings.items() if e != "RLE_DICTIONARY"}
+        with pq.ParquetWriter(part, head.schema, filesystem=fs, use_dictionary=dictionary, column_encoding=forced or None) as out:
+            while b is not None:
+                out.write_batch(b)
+                rows += b.num_rows
+                b = next(batches, None)
+        fs.move(part, final)
+        yield pa.RecordBatch.from_pydict({"file": [final], "rows": pa.array([rows], pa.int64())})
+
+    return df.mapInArrow(run, "file string, rows long")
+
+
+def same_bytes(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether the data files of two folders are the same bytes, file by file in order of their names."""
+
+    def digests(path: str) -> list[str]:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+        return [r[0] for r in found.select(F.sha2("content", 256), F.col("path")).orderBy("path").collect()]  # a row per file
+
+    return digests(a) == digests(b)
 
 
 def _factory(keys: dict[str, bytes]):

@@ -75,37 +75,52 @@ def survivors(raw: DataFrame, column: str, dropped: list[str]) -> DataFrame:
     return raw.filter(~F.coalesce(F.col(column).isin(*dropped), F.lit(False)))
 
 
-def ordered_sequences(stream: DataFrame, time: str, key: str, kind: str, steps: list[str], span_s: int) -> DataFrame:
+def ordered_sequences(stream: DataFrame, time: str, key: str, kind: str, steps: list[str], span_s: int, late_s: int = 3600) -> DataFrame:
     """(key, start, at) whenever the steps occur in order within the span, by keyed state that times out with event time.
 
-    The state holds, for each step, the greatest start of a chain that has got so far. Rows of one batch are
-    taken in order of time, so events may be out of order inside a batch.
+    The state holds, for each step, the greatest start of a chain that has got so far, and the rows that the
+    watermark has not passed. Those are taken in order of time once it has, so events may come out of order
+    in any batches, as long as they are no later than `late_s`; a key's state goes when nothing of it can
+    count any more.
     """
     out_schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("at", T.LongType())])
-    state_schema = T.StructType([T.StructField("starts", T.ArrayType(T.LongType()))])
+    state_schema = T.StructType([
+        T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.StringType())),
+    ])
 
     def run(k, batches, state):
         import pandas as pd
 
-        if state.hasTimedOut:
+        held = state.get if state.exists else ([None] * len(steps), [], [])
+        starts, waiting = list(held[0]), list(zip(held[1], held[2]))
+        for rows in batches:  # none when the time is up
+            waiting += [(int(t), what) for t, what in zip(rows["_t"], rows["_kind"]) if what in steps]
+        passed = state.getCurrentWatermarkMs() // 1000  # no row of an earlier second will come
+        ready = sorted((t, steps.index(what), what) for t, what in waiting if t < passed)
+        waiting = [(t, what) for t, what in waiting if t >= passed]
+        found, i = [], 0
+        while i < len(ready):  # rows of one second see what was there before that second
+            j, before = i, list(starts)
+            while j < len(ready) and ready[j][0] == ready[i][0]:
+                j += 1
+            t = ready[i][0]
+            for what in dict.fromkeys(r[2] for r in ready[i:j]):
+                for n in [n for n, s in enumerate(steps) if s == what]:
+                    start = t if n == 0 else before[n - 1]
+                    if start is not None and t - start <= span_s:
+                        starts[n] = start if starts[n] is None else max(starts[n], start)
+                        if n == len(steps) - 1:
+                            found.append((k[0], start, t))
+            i = j
+        starts = [s if s is not None and s + span_s >= passed else None for s in starts]
+        if waiting or any(s is not None for s in starts):
+            state.update((starts, [t for t, _ in waiting], [w for _, w in waiting]))
+            due = min([t + 1 for t, _ in waiting] + [s + span_s + 1 for s in starts if s is not None])
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, due * 1000))
+        elif state.exists:
             state.remove()
-            return
-        starts = list(state.get[0]) if state.exists else [None] * len(steps)
-        found = []
-        rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
-        for t, what in zip(rows["_t"], rows["_kind"]):
-            t = int(t)
-            for i in reversed([i for i, s in enumerate(steps) if s == what]):
-                start = t if i == 0 else starts[i - 1]
-                if start is not None and t - start <= span_s and (i == 0 or t > start):
-                    starts[i] = start if starts[i] is None else max(starts[i], start)
-                    if i == len(steps) - 1:
-                        found.append((k[0], starts[i], t))
-        state.update((starts,))
-        if state.getCurrentWatermarkMs() >= 0:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(rows["_t"].max()) + span_s) * 1000))
         yield pd.DataFrame(found, columns=["key", "start", "at"])
 
-    rows = event_time(stream, time).withWatermark(time, f"{span_s} seconds")
+    rows = event_time(stream, time).withWatermark(time, f"{late_s} seconds")
     rows = rows.withColumn("_t", F.unix_seconds(time)).select(F.col(key).cast("string").alias("_key"), "_t", F.col(kind).alias("_kind"), time)
     return rows.groupBy("_key").applyInPandasWithState(run, out_schema, state_schema, "append", "EventTimeTimeout")

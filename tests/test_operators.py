@@ -175,6 +175,101 @@ def test_safe_sql(spark):
             safety.safe_sql(spark, bad)
 
 
+def test_safe_sql_looks_into_the_plan(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("secret")
+    spark.range(3).createOrReplaceTempView("three")
+    good = ("SELECT count(*) AS n, max(id) FROM three WHERE id IN (SELECT id FROM three) AND id > 0", "WITH a AS (SELECT id FROM three) SELECT upper(CAST(id AS STRING)) FROM a",
+            "SELECT CASE WHEN id > 1 THEN 'x' END, row_number() OVER (ORDER BY id) FROM three")
+    for text in good:
+        assert safety.safe_sql(spark, text).count() >= 1
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'java.home')", "SELECT java_method('java.lang.System', 'getProperty', 'java.home')", f"SELECT * FROM text.`{tmp_path}/secret.txt`",
+                f"SELECT (SELECT max(value) FROM text.`{tmp_path}/secret.txt`) AS x", f"WITH a AS (SELECT * FROM csv.`{tmp_path}`) SELECT * FROM a", "SELECT * FROM nowhere",
+                "SELECT id FROM three WHERE EXISTS (SELECT 1 FROM three WHERE input_file_name() = 'x')", "SELECT current_user()", "SELECT id, (SELECT reflect('a', 'b')) FROM three",
+                "SELECT * FROM three WHERE id IN (SELECT java_method('a', 'b'))", "SELECT transform(array(1), x -> reflect('a', 'b'))"):
+        with pytest.raises(ValueError):
+            safety.safe_sql(spark, bad)
+
+
+def test_log_table_publishes_by_rename_and_reads_from_checkpoints(spark, tmp_path):
+    t = LogTable(spark, f"file://{tmp_path}/r", checkpoint_every=4)
+    t._create = lambda version, entry, ending=".json": t._published(f"{t.path}/_log/x{version}{ending}.tmp", f"{t.path}/_log/{version:012d}{ending}", __import__("json").dumps(entry).encode())
+    for k in range(10):
+        t.append(spark.range(k, k + 1).coalesce(1))
+    assert not t._create(3, {}) and t.read().count() == 10 and t._names(".base") == [4, 8]
+    read, seen = t._read, []
+    t._read = lambda v, ending=".json": seen.append((v, ending)) or read(v, ending)
+    assert len(t.snapshot().files) == 10 and seen == [(8, ".base"), (9, ".json")]
+    assert t.read(5).count() == 6
+    t._read = read
+    t.delete(F.col("id") < 3)
+    assert t.expire(1) > 0 and t.read().count() == 7 and t.versions() == [10] and t._names(".base") == [10]
+
+
+def test_expiry_leaves_readers_whole_at_every_step(spark, tmp_path):
+    t = LogTable(spark, f"file://{tmp_path}/e")
+    for k in range(6):
+        t.append(spark.range(k, k + 1).coalesce(1))
+    t.compact(1)
+    counts, fs = [], t._fs
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def delete(self, *a):
+            counts.append(LogTable(spark, t.path).read().count())
+            return fs.delete(*a)
+
+    t._fs = Watched()
+    assert t.expire(1) == 6 and counts and set(counts) == {6} and t.read().count() == 6
+
+
+def test_inlined_rows_move_into_files_beyond_the_total(spark, tmp_path):
+    t = LogTable(spark, f"file://{tmp_path}/i", inline_rows=5, inline_total=12)
+    sizes = []
+    for k in range(5):
+        t.append(spark.range(5 * k, 5 * k + 5))
+        sizes.append(len(t.snapshot().inline))
+    assert sizes == [5, 10, 0, 5, 10] and sorted(r.id for r in t.read().collect()) == list(range(25))
+    with pytest.raises(ValueError):
+        t.add_files(_foreign(spark, tmp_path))  # another column
+
+
+def _foreign(spark, tmp_path):
+    spark.range(3).withColumn("x", F.lit(1)).write.parquet(f"{tmp_path}/foreign")
+    return spark.read.parquet(f"{tmp_path}/foreign").inputFiles()
+
+
+def test_graph_closures_have_no_depth_limit(spark):
+    chain = [(f"c{i + 1}", f"c{i}", "subClassOf") for i in range(70)] + [("c0", "c70", "subClassOf")]
+    edges = spark.createDataFrame(chain, "src string, dst string, rel string")
+    assert graph.descendants(edges, "c0").count() == 71
+    with pytest.raises(RuntimeError):
+        graph.descendants(edges, "c0", most=10)
+
+
+def test_paths_say_when_the_budget_was_reached(spark):
+    e = [("a", f"m{i}", "r", 0.5 + i / 1000) for i in range(40)] + [(f"m{i}", "z", "r", 0.9) for i in range(40)]
+    edges = spark.createDataFrame(e, "src string, dst string, rel string, trust double")
+    full, cut = graph.paths(edges, "a", "z").collect(), graph.paths(edges, "a", "z", budget=5).collect()
+    assert full[0].path == cut[0].path == ["a", "m39", "z"] and all(r.complete for r in full) and not any(r.complete for r in cut)
+
+
+def test_kinds_within_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(3), rnd.randrange(300), rnd.choice("abcd"), "r") for _ in range(200)]
+    df = spark.createDataFrame(rows, "u int, time_s long, ip string, rule string")
+    for gte in (2, 3, 4):
+        got = {r.u: r["at"] for r in sigma.correlate(df, {"type": "value_count", "rules": ["r"], "group-by": ["u"], "timespan": "10s", "condition": {"gte": gte, "field": "ip"}}).collect()}
+        want = {}
+        for u, t, _, _ in sorted(rows, key=lambda r: r[1]):
+            if len({v for x, s, v, _ in rows if x == u and t - 10 <= s <= t}) >= gte:
+                want.setdefault(u, t)
+        assert got == want
+
+
 def test_late_events_land_in_their_window_or_are_dropped(spark, tmp_path):
     # A batch drops by the watermark that the batch before it has used, so one more batch stands in between.
     rows = [[("2024-01-01 00:01:00", "a")], [("2024-01-01 03:00:00", "a")], [("2024-01-01 03:01:00", "a")], [("2024-01-01 00:02:00", "a")], [("2024-01-01 09:00:00", "a")]]

@@ -25,8 +25,12 @@ def test_ordered_sequences_equal_brute_force(spark, tmp_path):
     rnd = random.Random(8)
     rows = [(f"u{rnd.randrange(4)}", t, rnd.choice("abcx")) for t in sorted(rnd.sample(range(20_000), 160))]
     df = spark.createDataFrame(rows, "u string, s long, kind string").select("u", F.timestamp_seconds("s").alias("ts"), "kind")
-    df.repartitionByRange(3, "ts").write.parquet(f"{tmp_path}/in")
-    stream = streams.ordered_sequences(streams.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 10), "ts", "u", "kind", ["a", "b", "c"], 900)
+    # Five batches, each with events of the whole time; the last brings the watermark past all others.
+    dealt = df.withColumn("k", F.pmod(F.xxhash64("u", "ts"), F.lit(4)))
+    for k in range(4):
+        dealt.filter(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("end", 90_000, "x")], "u string, s long, kind string").select("u", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.ordered_sequences(streams.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema), "ts", "u", "kind", ["a", "b", "c"], 900, 21_000)
     streams.drain(stream, f"{tmp_path}/out", f"{tmp_path}/c")
     got = {(r.key, r.start, r["at"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == brute(rows, "abc", 900) and got
