@@ -7,6 +7,12 @@ Pre-tokens are found here by `regex`, whose Unicode tables need not be the libra
 first asks the library for the class (letter, number, white space, other) of every code point, and a
 text that holds a code point on which the two differ goes through the library as a whole. So does
 everything where the file's steps are not those of a plain byte-level BPE.
+
+Pre-tokens that are not remembered are merged by tiktoken, which is faster than the library's model, where
+the file lets both come to the same: the rank of every merge is the rank of what it makes, and the library
+makes every token of the vocabulary out of its own bytes. Then two neighbours that tiktoken merges because
+their union is a token are a pair that the library merges as well: without a merge across their ends the
+bytes between these went the way they go alone, and that way ends in the token.
 """
 
 from __future__ import annotations
@@ -44,22 +50,22 @@ def _ranges(points: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(1)
-def _runs() -> dict[str, tuple[str, str]]:
+@lru_cache(2)
+def _runs(end: int = 0x110000) -> dict[str, tuple[str, str]]:
     """By class of `regex`: a character of the class and all code points of it in a row, surrogates left out."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = "".join(map(chr, [*range(min(end, 0xD800)), *range(0xE000, end)]))
     classes = {"letter": ("a", r"\p{L}"), "number": ("1", r"\p{N}"), "space": ("\t", r"\s"), "other": ("!", r"[^\s\p{L}\p{N}]")}
     return {k: (one, "".join(regex.findall(p + "+", every))) for k, (one, p) in classes.items()}
 
 
-def differing(cut) -> list[tuple[int, int]]:
-    """Ranges of code points whose class `regex` and the library see differently; cut: the library's pre-tokenizer.
+def differing(cut, end: int = 0x110000) -> list[tuple[int, int]]:
+    """Ranges of code points below `end` whose class `regex` and the library see differently; cut: the library's pre-tokenizer.
 
     A row of characters of one class is one pre-token, so only where the library cuts such a row is there
     anything to look at.
     """
     odd: list[int] = []
-    for one, row in _runs().values():
+    for one, row in _runs(end).values():
         for _, (a, b) in cut.pre_tokenize_str(row):
             if len(cut.pre_tokenize_str(one + row[a:b] + one)) > 1:
                 odd += [ord(c) for c in row[a:b] if len(cut.pre_tokenize_str(one + c + one)) > 1]
@@ -78,6 +84,29 @@ def plain_bpe(steps: dict) -> bool:
     )
 
 
+def merger(tokenizer, steps: dict):
+    """A function from a pre-token's bytes to its ids by tiktoken, or None where that might not be the library's way."""
+    model, back = steps["model"], {c: b for b, c in byte_letters().items()}
+    vocabulary, made = model["vocab"], -1
+    for pair in model["merges"]:
+        rank = vocabulary["".join(pair.split(" ") if isinstance(pair, str) else pair)]
+        if rank <= made:
+            return None
+        made = rank
+    special = {t["content"] for t in steps.get("added_tokens", [])}
+    own = {t: i for t, i in vocabulary.items() if t not in special}
+    if not all(set(t) <= back.keys() for t in own) or not all(c in own for c in back):
+        return None
+    if any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in own.items()):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    ranks = {bytes(back[c] for c in t): i for t, i in own.items()}
+    return tiktoken.Encoding("of a file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit integers in bytes; `seen` maps pre-tokens to such bytes.
 
@@ -100,20 +129,35 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.library = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.easy = plain_bpe(json.loads(self.tokenizer.to_str()))
+        steps = json.loads(self.tokenizer.to_str())
+        self.easy = plain_bpe(steps) and not differing(self.tokenizer.pre_tokenizer, 0x100)
         if not self.easy:
             return
+        self.merge = merger(self.tokenizer, steps)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {s: self.pack([i]) for s, i in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(PATTERN).findall
         self.letters, self.model = byte_letters(), self.tokenizer.model
-        odd = differing(self.tokenizer.pre_tokenizer)
-        self.odd = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in odd) + "]") if odd else None
+        self._odd = False
+
+    @property
+    def odd(self):
+        """A pattern of the code points on which the library differs, or None; found when a text first needs it."""
+        if self._odd is False:
+            odd = differing(self.tokenizer.pre_tokenizer)
+            self._odd = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in odd) + "]") if odd else None
+        return self._odd
 
     def by_pieces(self, text: str) -> bool:
         """Whether the text's pre-tokens, as split() gives them, are the library's."""
-        return self.easy and (self.odd is None or self.odd.search(text) is None)
+        if not self.easy:
+            return False
+        try:
+            text.encode("latin-1")  # of these code points the classes are the same
+            return True
+        except UnicodeEncodeError:
+            return self.odd is None or self.odd.search(text) is None
 
     def parts(self, text: str) -> list[str]:
         """The text between special tokens, and these."""
@@ -122,7 +166,9 @@ class Encoder:
         return [p for p in self.cut.split(text) if p]
 
     def piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token: the library's model on its byte letters."""
+        """Ids of one pre-token: the library's model on its byte letters, or what comes to the same."""
+        if self.merge is not None:
+            return self.merge(piece.encode("utf-8", "surrogatepass"))
         letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(letters)]
 

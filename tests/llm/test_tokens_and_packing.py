@@ -38,6 +38,16 @@ def test_every_code_point_in_several_contexts():
     assert len(enc.ids("x \u0558\u0558's!")) == 4 * 9 and len(enc.ids("\u0c5c's")) == 4 * 5
 
 
+def test_both_ways_to_merge_come_to_the_same():
+    enc, rnd = Encoder(default_vocabulary()), random.Random(7)
+    assert enc.merge is not None
+    pool = ["a", "b", "th", "ing", "é", "漢", "😀", "0", "9", "!", " ", "\u0558", "qz", "ation", "\n", "İ", "ﬁ"]
+    pieces = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 24))) for _ in range(30_000)]
+    fast = [enc.piece(p) for p in pieces]
+    enc.merge = None
+    assert fast == [enc.piece(p) for p in pieces]
+
+
 def test_other_files_go_through_the_library(tmp_path):
     import json
 
