@@ -25,7 +25,7 @@ from .common import located, picked, settle, text_of
 #: ASCII white space is what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of one block, prefix buckets of one source, slots ranked in one task, cells of the interval [0, 1).
-BLOCK, BUCKETS, SLOTS_PER_TASK, CELLS = 256, 65536, 65536, 4096
+BLOCK, BUCKETS, SLOTS_PER_TASK, CELLS = 256, 65536, 4096, 4096
 #: Prefix sums that one task makes at a time.
 TOGETHER = 256
 #: Golden-ratio points as t * STEP mod MODULUS (a prime; STEP is MODULUS / phi, rounded): exact in longs.
