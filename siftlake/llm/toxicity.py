@@ -29,11 +29,11 @@ from .labelled import logistic, sample, sigmoid, words_of
 #: Labelled texts of each class that come to the driver at most; n-gram order; discount.
 PER_CLASS, ORDER, DISCOUNT = 4000, 6, 0.75
 #: Words whose scores a worker remembers. A pair of words counts as one expression beyond so many texts of a class.
-REMEMBERED, TEXTS = 600_000, 8
+REMEMBERED, TEXTS = 300_000, 8
 #: Share of toxic words in a toxic text, weight of an unseen word's spelling, bounds of a ratio.
 SHARE, SPELLING, LOWEST, HIGHEST = 0.003, 0.25, -30.0, 12.0
-#: Texts that a known word stands in at least, parts of the rows that calibrate in turn, steepness of the curve.
-LEAST, PARTS, SCALE = 2, 3, 10.0
+#: Texts that a known word stands in at least, the part of the rows that calibrates, steepness of the curve.
+LEAST, ASIDE, SCALE = 2, 3, 10.0
 #: Bits of a letter in an n-gram's key; rarer letters are one.
 BITS = 9
 UNKNOWN, EDGE = 1, 2
@@ -224,12 +224,14 @@ class Model:
         ys = np.array([y for _, y in rows], dtype=float)
         if len(rows) < 8 or ys.min() == ys.max():
             return cls(None, None, float(ys.mean()) if len(rows) else 0.0)
-        x = np.zeros((len(rows), 1))
-        for part in range(PARTS):  # numbers of each part by counts of the others
-            scorer = Scorer(Words([r for i, r in enumerate(rows) if i % PARTS != part]))
-            for i in range(part, len(rows), PARTS):
-                x[i] = scorer.of(rows[i][0])
-        return cls(Words(rows), logistic(x, ys))
+        aside = rows[::ASIDE]  # calibrates counts that have not seen it
+        scorer = Scorer(Words([r for i, r in enumerate(rows) if i % ASIDE]))
+        y = ys[::ASIDE]
+        if y.min() == y.max():  # too few of a class
+            aside, y, scorer = rows, ys, Scorer(Words(rows))
+        weights = logistic(np.array([[scorer.of(t)] for t, _ in aside]), y)
+        del scorer
+        return cls(Words(rows), weights)
 
     def scores(self, texts: list[str], scorer: Scorer | None) -> np.ndarray:
         if self.words is None:
