@@ -35,22 +35,33 @@ class Panel:
 
 
 class Panels:
-    """Panels by spec: apply() takes a batch into all of them, answer() serves a query that a panel covers."""
+    """Panels by spec: apply() takes a batch into all of them, answer() serves a query that a panel covers.
+
+    A panel is held as runs, partial results of more and more batches. A batch adds a run of its own; runs that
+    have come from as many batches as a newer one are merged with it, so that a row of the panel is written as
+    often as the logarithm of the number of batches, not with each of them. answer() merges the runs there are.
+    """
 
     def __init__(self):
-        self.held: dict[Panel, DataFrame | None] = {}
+        self.held: dict[Panel, list[tuple[int, DataFrame]]] = {}
 
     def declare(self, panel: Panel) -> None:
-        self.held.setdefault(panel, None)
+        self.held.setdefault(panel, [])
 
     def apply(self, batch: DataFrame) -> None:
-        for panel, held in self.held.items():
-            part = panel.partial(batch)
-            self.held[panel] = persisted(part if held is None else panel.merge(held.unionByName(part)))
+        for panel, runs in self.held.items():
+            size, part = 1, panel.partial(batch)
+            while runs and runs[-1][0] <= size:
+                older, run = runs.pop()
+                size, part = size + older, panel.merge(run.unionByName(part))
+            runs.append((size, persisted(part)))
 
     def answer(self, wanted: Panel, base: DataFrame) -> tuple[DataFrame, bool]:
         """(result, whether a panel gave it): one with the same predicate whose keys and measures hold the wanted ones."""
-        for panel, held in self.held.items():
-            if held is not None and panel.where == wanted.where and set(wanted.keys) <= set(panel.keys) and set(wanted.measures) <= set(panel.measures):
-                return wanted.merge(held), True
+        for panel, runs in self.held.items():
+            if runs and panel.where == wanted.where and set(wanted.keys) <= set(panel.keys) and set(wanted.measures) <= set(panel.measures):
+                every = runs[0][1]
+                for _, run in runs[1:]:
+                    every = every.unionByName(run)
+                return wanted.merge(every), True
         return wanted.partial(base), False

@@ -905,3 +905,24 @@ def wide_tables(spark, sf_dir):
         back = spark.read.parquet(path)
         out.append((n, len(back.columns) == n and back.agg(F.sum(f"c{n - 1}")).first()[0] == 3 * n))
     return spark.createDataFrame(out, "columns int, readable boolean")
+
+
+@query("""WITH {soc}, d AS (SELECT k.seed, s.status_id FROM soc s, (VALUES (1), (2), (3), (4), (5)) k(seed) WHERE substr(md5(concat(CAST(k.seed AS STRING), '-', CAST(s.uid AS STRING))), 1, 1) < '4'),
+r AS (SELECT seed, count(*) AS n, CAST(count(*) FILTER (WHERE status_id = 2) AS DOUBLE) / count(*) AS share FROM d GROUP BY seed)
+SELECT count(*) AS draws, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(min(share), 6) AS least, round(max(share), 6) AS most FROM r""")
+def sweep_redraw(spark, sf_dir):
+    """A statistic over redrawn samples, a draw per seed, in one pass: its mean, deviation and bounds."""
+    seeds = spark.createDataFrame([(k,) for k in range(1, 6)], "seed int")
+    rows = soc(spark, sf_dir).select("uid", "status_id").crossJoin(F.broadcast(seeds))  # five draws a row
+    drawn = rows.filter(F.substring(F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.col("uid").cast("string"))), 1, 1) < "4")
+    shares = drawn.groupBy("seed").agg((F.count_if(F.col("status_id") == 2) / F.count(F.lit(1))).alias("share"))
+    got = scoring.bands(shares.withColumn("k", F.lit(0)), ["k"], "share")
+    return got.select(F.col("n").alias("draws"), *[F.round(c, 6).alias(c) for c in ("mean", "sd", "least", "most")])
+
+
+@query("SELECT concat('n:', CAST(n_nationkey AS STRING)) AS id FROM nation UNION ALL SELECT concat('r:', CAST(r_regionkey AS STRING)) FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)")
+def graph_leaves(spark, sf_dir):
+    """Concepts of the hierarchy that nothing is below."""
+    nodes, edges = concept_graph(spark, sf_dir)
+    above = edges.filter("rel = 'subClassOf'").select(F.col("dst").alias("id")).distinct()
+    return nodes.filter("ntype IN ('region', 'nation')").select("id").join(above, "id", "left_anti")
