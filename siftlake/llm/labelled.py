@@ -45,6 +45,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     return [(rows[i][1], rows[i][2]) for i in rnd.permutation(len(rows))]
 
 
+def class_sizes(labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str = "doc_id") -> tuple[int, int]:
+    """How many ids of either class may be learnt from; sample() takes of each class what its bounds let it."""
+    ident = column(labels, id_col)
+    known = labels.select(ident.alias("id"), column(labels, label).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
+    known = known.groupBy("id").agg(F.max("y").alias("y")).filter(F.crc32(F.col("id").cast("string")) % modulus != held_out)
+    found = dict(known.groupBy("y").count().collect())
+    return found.get(0, 0), found.get(1, 0)
+
+
+def prior_shift(ys, sizes: tuple[int, int] | None) -> float:
+    """What to add to log-odds learnt from a sample with these labels, so that they are those of classes of these sizes."""
+    n0, n1 = int((ys == 0).sum()), int((ys == 1).sum())
+    if not sizes or not min(*sizes, n0, n1):
+        return 0.0
+    return float(np.log(sizes[1] / sizes[0]) - np.log(n1 / n0))
+
+
 def words_of(text: str) -> list[str]:
     """What white space separates; a longer run than LONG is overlapping pieces that cover it, so all of it counts."""
     words = text.split()

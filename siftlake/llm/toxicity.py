@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts have a model each. The upper levels count by class: words, and pairs of words that
-enough texts hold. Their backoff is shared: the Kneser-Ney continuation counts of both classes together, so
+Toxic and ordinary texts have a model each. The upper levels count by class: words, and pairs of words that are
+frequent enough. They count as Kneser-Ney models do below the highest order, by the number of different words
+that stand before, so that a passage which many texts share, or a text with many copies, counts once. Their backoff is shared: the Kneser-Ney continuation counts of both classes together, so
 a rare expression is smoothed by what either class knows, and what neither has seen tells nothing but the
 classes' backoff weights. A word that neither class has seen is judged by its spelling: character models of
 the classes, again with shared lower orders, give its log-likelihood ratio, which counts at a weight.
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, slices, text_of
-from .labelled import logistic, sample, sigmoid, words_of
+from .labelled import class_sizes, logistic, prior_shift, sample, sigmoid, words_of
 
 #: Labelled texts of each class that come to the driver at most; n-gram order; discount.
 PER_CLASS, ORDER, DISCOUNT = 4000, 6, 0.75
-#: Words whose scores a worker remembers. A pair of words counts as one expression beyond so many texts of a class.
-REMEMBERED, TEXTS = 300_000, 8
+#: Words whose scores a worker remembers. A pair of words counts as one expression beyond so many words before it.
+REMEMBERED, CONTEXTS = 300_000, 8
 #: Share of toxic words in a toxic text, weight of an unseen word's spelling, bounds of a ratio.
 SHARE, SPELLING, LOWEST, HIGHEST = 0.003, 0.25, -30.0, 12.0
-#: Texts that a known word stands in at least, the part of the rows that calibrates, steepness of the curve.
+#: Words that a known word follows at least, the part of the rows that calibrates, steepness of the curve.
 LEAST, ASIDE, SCALE = 2, 3, 10.0
 #: Bits of a letter in an n-gram's key; rarer letters are one.
 BITS = 9
@@ -127,19 +128,33 @@ class Ratio:
         return np.add.reduceat(value, np.cumsum(sizes) - sizes) / sizes
 
 
+def _continued(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of words that follow one another, number of different words before each)."""
+    pair = np.concatenate([np.zeros(0, np.uint64), *[x[1:-1] << np.uint64(32) | x[2:] for x in streams]])
+    before = np.concatenate([np.zeros(0, np.uint64), *[x[:-2] for x in streams]])
+    held = pair >= np.uint64(1 << 32)  # the first word of a text follows none
+    pair, before = pair[held], before[held]
+    order = np.lexsort((before, pair))
+    pair, before = pair[order], before[order]
+    new = np.ones(len(pair), dtype=bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])
+    return np.unique(pair[new], return_counts=True)
+
+
 class Words:
     """Log-likelihood ratios of words and of pairs of words: toxic over ordinary."""
 
-    def __init__(self, rows: list[tuple[str, int]], discount: float = DISCOUNT, texts: int = TEXTS, order: int = ORDER):
-        counts, pairs, ids = (Counter(), Counter()), ([], []), {}
+    def __init__(self, rows: list[tuple[str, int]], discount: float = DISCOUNT, contexts: int = CONTEXTS, order: int = ORDER):
+        counts, streams, ids = (Counter(), Counter()), ([], []), {"": 0}  # the empty word stands before a text
         for text, y in rows:
             words = lower_words(text)
-            counts[y].update(set(words))  # a text counts once
-            at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.uint64, count=len(words))
-            pairs[y].append(np.unique(at[:-1] << np.uint64(32) | at[1:]))
-        self.spelling = Ratio(counts[1], counts[0], order, discount)
+            counts[y].update(set(words))
+            streams[y].append(np.fromiter((ids.setdefault(w, len(ids)) for w in ("", "", *words)), dtype=np.uint64, count=len(words) + 2))
         vocabulary = list(ids)
-        c = [np.fromiter((k[w] for w in vocabulary), dtype=np.float64, count=len(ids)) for k in counts]
+        pairs = [_continued(s) for s in streams]
+        c = [np.bincount((np.unique(np.concatenate([np.zeros(0, np.uint64), *[x[1:-1] << np.uint64(32) | x[2:] for x in s]])) & np.uint64(0xFFFFFFFF)).astype(np.int64),
+                         minlength=len(ids)).astype(np.float64) for s in streams]
+        self.spelling = Ratio(counts[1], counts[0], order, discount)
         total = [max(x.sum(), 1.0) for x in c]
         kinds = (c[0] > 0).astype(float) + (c[1] > 0)
         size = len(ids)
@@ -147,16 +162,15 @@ class Words:
         p = [np.maximum(x - discount, 0) / n + discount * (x > 0).sum() / n * shared for x, n in zip(c, total)]
         ratio = np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300))
         self.known = {w: r for w, r, n in zip(vocabulary, ratio.tolist(), (c[0] + c[1]).tolist()) if n >= LEAST}
-        self._pair(pairs, p, vocabulary, discount, texts)
+        self._pair(pairs, p, vocabulary, discount, contexts)
 
-    def _pair(self, pairs, p, vocabulary, discount, texts) -> None:
-        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True) for x in pairs]
-        often = [(k[n > texts], n[n > texts].astype(float)) for k, n in found]
+    def _pair(self, found, p, vocabulary, discount, contexts) -> None:
+        often = [(k[n > contexts], n[n > contexts].astype(float)) for k, n in found]
         every = np.unique(np.concatenate([k for k, _ in often]))
         first, second = (every >> np.uint64(32)).astype(np.int64), (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
         logs = []
         for (keys, n), (some, m), own in zip(found, often, p):
-            of = np.bincount((keys >> np.uint64(32)).astype(np.int64), n, len(vocabulary))  # texts of each first word
+            of = np.bincount((keys >> np.uint64(32)).astype(np.int64), n, len(vocabulary))  # of each first word
             held = np.bincount((some >> np.uint64(32)).astype(np.int64), m - discount, len(vocabulary))
             c = np.zeros(len(every))
             c[np.searchsorted(every, some)] = m - discount
@@ -220,7 +234,8 @@ class Model:
         self.words, self.weights, self.constant = words, weights, constant
 
     @classmethod
-    def train(cls, rows: list[tuple[str, int]]):
+    def train(cls, rows: list[tuple[str, int]], sizes: tuple[int, int] | None = None):
+        """sizes: of the classes that rows are a sample of, each drawn by itself."""
         ys = np.array([y for _, y in rows], dtype=float)
         if len(rows) < 8 or ys.min() == ys.max():
             return cls(None, None, float(ys.mean()) if len(rows) else 0.0)
@@ -231,6 +246,7 @@ class Model:
             aside, y, scorer = rows, ys, Scorer(Words(rows))
         weights = logistic(np.array([[scorer.of(t)] for t, _ in aside]), y)
         del scorer
+        weights[-1] += prior_shift(ys, sizes)
         return cls(Words(rows), weights)
 
     def scores(self, texts: list[str], scorer: Scorer | None) -> np.ndarray:
@@ -274,7 +290,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     them (0 with none). A null id is not held out. Other columns are not read. No shuffle.
     """
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col)))
+    sizes = class_sizes(labels, label_col, modulus, held_out, id_col)
+    model = sc.broadcast(Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col), sizes))
 
     def make_scores():
         scorer = Scorer(model.value.words)

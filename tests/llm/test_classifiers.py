@@ -118,12 +118,13 @@ def test_word_ratios_by_hand():
         elif i % 3 == 1:
             words[9:12] = ["go", "far", "away"]
         rows.append((" ".join(words), int(i % 3 == 0)))
-    model, d = toxicity.Words(rows), toxicity.DISCOUNT
-    texts = [[t.split() for t, y in rows if y == k] for k in (0, 1)]
-    counts = [Counter(w for t in ts for w in set(t)) for ts in texts]
-    pairs = [Counter(p for t in ts for p in set(zip(t, t[1:]))) for ts in texts]
+    rows += [rows[0]] * 20  # copies change nothing
+    model, d = toxicity.Words(rows, contexts=2), toxicity.DISCOUNT
+    texts = [[["", "", *t.split()] for t, y in rows if y == k] for k in (0, 1)]
+    counts = [Counter(w for _, w in {(a, w) for t in ts for a, w in zip(t[1:], t[2:])}) for ts in texts]
+    pairs = [Counter(p[1:] for p in {p for t in ts for p in zip(t[1:], t[2:], t[3:])} | {("", *t[2:4]) for t in ts}) for ts in texts]
     kinds = Counter(w for c in counts for w in c)
-    size = len(kinds)
+    size = len(kinds) + 1  # with the empty word before a text
 
     def word(w, k):
         n = sum(counts[k].values())
@@ -131,12 +132,12 @@ def test_word_ratios_by_hand():
         return max(counts[k][w] - d, 0) / n + d * len(counts[k]) / n * shared
 
     def pair(a, b, k):
-        often = {p: n for p, n in pairs[k].items() if n > toxicity.TEXTS}
+        often = {p: n for p, n in pairs[k].items() if n > 2}
         total = sum(n for (x, _), n in pairs[k].items() if x == a)
         held = sum(n - d for (x, _), n in often.items() if x == a)
         return (max(often.get((a, b), 0) - d, 0) + (total - held) * word(b, k)) / total if total else word(b, k)
 
-    shown = {p for c in pairs for p, n in c.items() if n > toxicity.TEXTS}
+    shown = {p for c in pairs for p, n in c.items() if n > 2}
     text = ["the", "go", "away", "sun", "go", "far", "vile"]
     want = [np.log(word("the", 1) / word("the", 0))]
     for a, b in zip(text, text[1:]):
@@ -144,7 +145,7 @@ def test_word_ratios_by_hand():
         want.append(np.log(p[1] / p[0]))
     scorer = toxicity.Scorer(model)
     assert scorer.ratios(text) == pytest.approx(want)
-    assert want[2] > 2 > 0 > want[5] and want[6] > 2  # "go away" is a toxic phrase of ordinary words
+    assert want[2] > 1 > 0 > want[5] and want[6] > 0.5  # "go away" is a toxic phrase of ordinary words
     mixture = sum(np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(min(x, 12))) for x in want) / len(text) ** 0.5
     assert scorer.of(" ".join(text)) == pytest.approx(np.arcsinh(toxicity.SCALE * mixture))
     rare = scorer.ratios(["vilest"])[0]
