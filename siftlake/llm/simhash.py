@@ -35,10 +35,8 @@ from pyspark.sql import types as T
 from .common import located, picked, settle, slices, text_of
 from .components import components
 
-#: Nodes of a bucket that one task handles together, at least; larger buckets are split into tiles.
+#: Nodes of a bucket that one task handles together; larger buckets are split into tiles of so many.
 TILE = 4096
-#: At most so many buckets are split, which bounds what is broadcast.
-SPLIT = 20_000
 #: Buckets up to this size are compared by shifted rows, larger ones by growing components.
 SMALL = 48
 #: Shingles hashed at once.
@@ -284,17 +282,15 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
             for t, masks in enumerate(plan.tables())
         ]
     dealt = nodes.select("node", *lanes, F.explode(F.array_distinct(F.array(*buckets))).alias("bucket"))
-    counted = settle(dealt.groupBy("bucket").count().filter("count > 1"), "bucket-sizes")
-    rows = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    tile = max(TILE, -(-rows // SPLIT))
-    large = counted.filter(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    # At most rows / tile <= SPLIT buckets are that large.
-    dealt = dealt.join(F.broadcast(large), "bucket", "left")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tiles = F.when(F.col("parts").isNull(), F.array(F.col("bucket"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("bucket", F.least(part, j), F.greatest(part, j)))
-    )
-    dealt = dealt.select("node", *lanes, F.explode(tiles).alias("bucket"))
+    counted = settle(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1"), "bucket-sizes")
+    large, star = counted.filter(F.col("n") > TILE).select("bucket", "rep"), None
+    if not large.isEmpty():
+        firsts = nodes.select(F.col("node").alias("rep"), *[F.col(c).alias(f"r{c}") for c in lanes])
+        near = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"r{c}"))) for c in lanes) <= plan.bits
+        hot = settle(dealt.join(large.join(firsts, "rep"), "bucket").select("node", *lanes, "bucket", "rep", near.alias("near")), "hot-buckets")
+        star = hot.filter("near AND node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        dealt = dealt.join(large, "bucket", "left_anti").select("node", *lanes, "bucket").unionByName(
+            _in_tiles(hot, "bucket", "node", F.lit(1), TILE).select("node", *lanes, F.col("tile").alias("bucket")))
     sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
@@ -321,7 +317,28 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
-    return sorted_.mapInArrow(run, "u long, v long")
+    found = sorted_.mapInArrow(run, "u long, v long")
+    return found if star is None else found.unionByName(star)
+
+
+def _in_tiles(hot: DataFrame, key: str, item: str, load, tile: int) -> DataFrame:
+    """hot rows (key, item, near) with a `tile` for each task that compares them; rows of a tile share it.
+
+    Rows that are near their key's first row are linked to it, hence to one another, and are not compared
+    again: only the far ones meet each other and the near ones, by pairs of parts of about `tile` load. So
+    a group of copies, however large, costs a pass, and the rest costs pairs with it.
+    """
+    sizes = hot.groupBy(key).agg(*[
+        F.ceil(F.coalesce(F.sum(F.when(side, load)), F.lit(0)) / tile).cast("int").alias(n) for n, side in (("near_parts", F.col("near")), ("far_parts", ~F.col("near")))
+    ])
+    placed = hot.join(settle(sizes, "hot-sizes"), key)
+    part = lambda n: F.pmod(F.xxhash64(item), F.col(n)).cast("int")
+    upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    far, near = part("far_parts"), part("near_parts")
+    among = upto("far_parts", lambda j: F.xxhash64(key, F.lit("far"), F.least(far, j), F.greatest(far, j)))
+    across = upto("near_parts", lambda i: F.xxhash64(key, F.lit("near"), far, i))
+    tiles = F.when(F.col("near"), upto("far_parts", lambda j: F.xxhash64(key, F.lit("near"), j, near))).otherwise(F.concat(among, across))
+    return placed.withColumn("tile", F.explode(tiles)).drop("near_parts", "far_parts")
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -368,18 +385,30 @@ def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("item"), b.column("root"), size, held], names=["item", "root", "size", "shingles"])
 
     sets = settle(candidates.select("item", "root", "text").mapInArrow(read, "item long, root long, size long, shingles binary"), "near-sets")
-    load = F.sum(F.col("size") + 64)  # a row has its own cost
-    groups = settle(sets.groupBy("root").agg(load.alias("load"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-loads")
-    rows = groups.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    tile = max(SET_TILE, -(-rows // SPLIT))
-    large = groups.filter(F.col("load") > tile).select("root", F.ceil(F.col("load") / tile).cast("int").alias("parts"))
-    # At most rows / tile <= SPLIT groups are that large.
-    dealt = sets.join(F.broadcast(large), "root", "left")
-    part = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")
-    tiles = F.when(F.col("parts").isNull(), F.array(F.xxhash64("root"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("root", F.least(part, j), F.greatest(part, j)))
-    )
-    dealt = dealt.select("item", "shingles", F.explode(tiles).alias("tile"))
+    load = F.col("size") + 64  # a row has its own cost
+    groups = settle(sets.groupBy("root").agg(F.sum(load).alias("load"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-loads")
+    large, star = groups.filter(F.col("load") > SET_TILE).select("root"), None
+    dealt = sets.join(groups.filter(F.col("load") <= SET_TILE).select("root"), "root", "left_semi").select("item", "shingles", F.xxhash64("root").alias("tile"))
+    if not large.isEmpty():
+        many = sets.join(large, "root", "left_semi")
+        firsts = many.filter("item = root").select("root", F.col("shingles").alias("first"))
+
+        def compare(batches):
+            for b in slices(batches, 64):
+                near, last, first = [], None, None
+                for s, f in zip(b.column("shingles"), b.column("first").to_pylist()):
+                    if f is not last:
+                        last, first = f, np.frombuffer(f, dtype=np.uint64)
+                    s = np.frombuffer(s.as_py(), dtype=np.uint64)
+                    common = len(np.intersect1d(s, first, assume_unique=True))
+                    near.append(common >= plan.similarity * (len(s) + len(first) - common) - 1e-9)
+                keep = [b.column(c) for c in ("item", "root", "size", "shingles")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(near, pa.bool_())], names=["item", "root", "size", "shingles", "near"])
+
+        met = many.join(firsts, "root").select("item", "root", "size", "shingles", "first")
+        hot = settle(met.mapInArrow(compare, "item long, root long, size long, shingles binary, near boolean"), "hot-sets")
+        star = hot.filter("near AND item <> root").select(F.col("item").alias("u"), F.col("root").alias("v"))
+        dealt = dealt.unionByName(_in_tiles(hot, "root", "item", load, SET_TILE).select("item", "shingles", "tile"))
     sorted_ = dealt.repartition("tile").sortWithinPartitions("tile")
 
     def run(batches):
@@ -398,7 +427,8 @@ def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([items[x] for x, _ in out], pa.int64()), pa.array([items[y] for _, y in out], pa.int64())], names=["u", "v"])
 
-    return sorted_.mapInArrow(run, "u long, v long")
+    found = sorted_.mapInArrow(run, "u long, v long")
+    return found if star is None else found.unionByName(star)
 
 
 def near_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -251,8 +251,12 @@ def _joined(spark: SparkSession, path: str, spots: DataFrame, true: DataFrame, b
     """broken with size and digest: records whose payload holds the magic, from all their chunks."""
     false = spots.join(true.select("file", "at"), ["file", "at"], "left_anti").select("file", "split", "at", F.lit(None).cast("long").alias("owner"))
     marks = broken.select("file", "split", "at", F.col("at").alias("owner")).unionByName(false)
-    upto = Window.partitionBy("file").orderBy("at")
-    owned = marks.withColumn("owner", F.last("owner", ignorenulls=True).over(upto)).filter("owner IS NOT NULL")
+    # The last record before each mark: within its split, else that of the splits before, of which a row each is left.
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.groupBy("file", "split").agg(F.max("owner").alias("own")).select("file", "split", F.max("own").over(before).alias("carry"))
+    owned = marks.withColumn("owner", F.last("owner", ignorenulls=True).over(inside)).join(carried, ["file", "split"])
+    owned = owned.withColumn("owner", F.coalesce("owner", "carry")).drop("carry").filter("owner IS NOT NULL")
     ends = broken.select("file", F.col("at").alias("owner"), "end")
     owned = owned.join(ends, ["file", "owner"]).filter("at < end").select("file", "split", "at", "owner")
     bases = spots.select("file", "split", "base").distinct()

@@ -96,6 +96,21 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert [got[i] for i in range(120)] == brute(prints, list(range(120)), 4)
 
 
+def test_a_large_group_of_copies_costs_a_pass_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    base = "a b c d e f g h i j k l m n o p q r s t " * 6
+    rows = [(i, base + f"tail{i}") for i in range(400)]
+    nodes = spark.createDataFrame(rows, "node long, text string")
+    prints = simhash.fingerprints(nodes, simhash.EXACT)
+    made = []
+    tiles = simhash._in_tiles
+    monkeypatch.setattr(simhash, "_in_tiles", lambda *a: made.append(tiles(*a)) or made[-1])
+    edges = simhash.links(prints, simhash.EXACT).distinct().collect()
+    distinct = prints.select("f0").distinct().count()
+    assert edges and made[0].count() < 21 * 400  # fewer than the rows that were dealt to buckets
+    assert distinct > 1
+
+
 def near_corpus():
     """Texts with edits that leave Jaccard similarities of 0.5 to 0.99, some of which the 48 bits do not tell apart."""
     rnd, texts = random.Random(12), [None, "", "one two", "One  TWO", "one three"]
