@@ -16,15 +16,16 @@ from collections import Counter
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import slices
-from .labelled import sample, sigmoid, words_of
+from .common import located, picked, settle, slices, text_of
+from .labelled import class_sizes, prior_shift, sample, sigmoid, words_of
 from .toxicity import classified
 
 #: Labelled texts of each class that come to the driver at most; sizes of an index vector and of the network.
 PER_CLASS, DIM, HIDDEN = 3000, 32, 32
 #: Words with a context vector of their own, words that a worker remembers, words pooled at once.
-VOCABULARY, REMEMBERED, CHUNK = 20_000, 250_000, 1 << 12
+VOCABULARY, REMEMBERED, CHUNK = 20_000, 80_000, 1 << 12
 NONZERO = 4
 
 
@@ -74,7 +75,7 @@ class Vectors:
     def _looks(self, keys: list[tuple[str, str, str]]) -> np.ndarray:
         """Of what words share: shape and ends."""
         new = [k for k in dict.fromkeys(keys) if k not in self.looks]
-        if len(self.looks) + len(new) > 100_000:
+        if len(self.looks) + len(new) > 30_000:
             self.looks.clear()
             new = list(dict.fromkeys(keys))
         if new:
@@ -187,7 +188,7 @@ class Network:
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     self.p[k] -= lr * first[k] / (np.sqrt(second[k]) + 1e-8)
-        self.temperature = 1.0
+        self.temperature, self.shift = 1.0, 0.0
         if aside.any():
             logits, t = self._logits(z[aside]), np.geomspace(0.3, 10, 60)
             loss = [np.mean(np.logaddexp(0, logits / k) - y[aside] * logits / k) for k in t]
@@ -200,7 +201,7 @@ class Network:
         return np.tanh(z @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3][0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self._logits(self._in(x)) / self.temperature)
+        return sigmoid(self._logits(self._in(x)) / self.temperature + self.shift)
 
 
 class Model:
@@ -208,13 +209,16 @@ class Model:
         self.vectors, self.network, self.constant = vectors, network, constant
 
     @classmethod
-    def train(cls, rows: list[tuple[str, int]]):
+    def train(cls, rows: list[tuple[str, int]], sizes: tuple[int, int] | None = None):
+        """sizes: of the classes that rows are a sample of, each drawn by itself."""
         ys = np.array([y for _, y in rows], dtype=float)
         if len(rows) < 8 or ys.min() == ys.max():
             return cls(None, None, float(ys.mean()) if len(rows) else 1.0)
         vectors = Vectors.learn([t for t, _ in rows])
         pooler = Pooler(vectors)
-        return cls(vectors, Network(np.array([pooler.of(t) for t, _ in rows]), ys))
+        network = Network(np.array([pooler.of(t) for t, _ in rows]), ys)
+        network.shift = prior_shift(ys, sizes)
+        return cls(vectors, network)
 
     def scores(self, texts: list[str], pooler: Pooler | None) -> np.ndarray:
         if self.network is None:
@@ -224,7 +228,8 @@ class Model:
 
 def train_model(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS,
                 id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    return Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col))
+    sizes = class_sizes(labels, label_col, modulus, held_out, id_col)
+    return Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col), sizes)
 
 
 def quality(docs: DataFrame, model: Model, modulus: int = 3, held_out: int = 1, threshold: float = 0.5,
@@ -246,17 +251,21 @@ def quality(docs: DataFrame, model: Model, modulus: int = 3, held_out: int = 1,
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score below the threshold; columns as they were. A map without a shuffle."""
-    import pyarrow as pa
+    """docs without the rows that score below the threshold; columns as they were.
 
+    Only texts go through Python; what it rejects is written as locators, and the rest is picked while the
+    files are scanned. Documents are not shuffled.
+    """
+    import pyarrow as pa
 
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    spots = located(docs, "quality-docs")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = spots.select(text_of(F.col("doc").getField(text_col)).alias("text"), "file", "row")
 
     def run(batches):
         pooler = Pooler(shared.value.vectors)
         for b in slices(batches):
-            if b.num_rows:
-                s = shared.value.scores([str(t) if t is not None else "" for t in b.column(at).to_pylist()], pooler)
-                yield b.filter(pa.array(s >= threshold))
+            low = shared.value.scores(b.column("text").to_pylist(), pooler) < threshold
+            yield b.select(["file", "row"]).filter(pa.array(low))
 
-    return docs.mapInArrow(run, docs.schema)
+    return picked(spots, settle(texts.mapInArrow(run, "file string, row long"), "rejected"), inside=False).select("doc.*")
