@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import persisted
+from .components import persisted, resolve
 
 UNKNOWN_TRUST, WEAK = 0.30, 0.25
 
@@ -170,13 +170,11 @@ def retrieve(edges: DataFrame, seeds: list[str], budget: int = 60, alias_rel: st
     best = near.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= share).drop("r")
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("id"))).filter(F.col("r") <= share)
     kept = persisted(start.select("id").unionByName(best.select("id")).distinct())
-    alias = both.filter(F.col("rel") == alias_rel).select("src", F.col("dst").alias("id"))
-    front = kept
-    while True:
-        front = persisted(alias.join(front.select(F.col("id").alias("src")), "src", "left_semi").select("id").distinct().join(kept, "id", "left_anti"))
-        if front.isEmpty():
-            return kept
-        kept = persisted(kept.unionByName(front))
+    # Aliases are whole components, which chains of any length reach in rounds of their logarithm.
+    alias = edges.filter(F.col("rel") == alias_rel).select("src", "dst").distinct()
+    held = resolve(alias.select(F.explode(F.array("src", "dst")).alias("node"), F.struct("src", "dst").alias("key")))
+    touched = held.join(kept.select(F.col("id").alias("node")), "node", "left_semi").select("cluster").distinct()
+    return kept.unionByName(held.join(touched, "cluster", "left_semi").select(F.col("node").alias("id"))).distinct()
 
 
 def serialise(nodes: DataFrame, edges: DataFrame, kept: DataFrame, seeds: list[str], most_nodes: int = 60, most_edges: int = 120) -> DataFrame:
