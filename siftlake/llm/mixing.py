@@ -26,8 +26,8 @@ from .common import located, picked, settle, text_of
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of one block, prefix buckets of one source, slots ranked in one task, cells of the interval [0, 1).
 BLOCK, BUCKETS, SLOTS_PER_TASK, CELLS = 256, 65536, 4096, 4096
-#: Prefix sums that one task makes at a time.
-TOGETHER = 256
+#: Prefix sums that one task makes at a time, rows of one id that lie together in the order.
+TOGETHER, REPEATS = 256, 1024
 #: Golden-ratio points as t * STEP mod MODULUS (a prime; STEP is MODULUS / phi, rounded): exact in longs.
 MODULUS, STEP = 2147483647, 1327217885
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -108,8 +108,12 @@ def _mix(spots: DataFrame, weights=WEIGHTS, share=1.5, cap=2, block=BLOCK, seed=
         "mix-sizes",
     )
     key = ["no_source", "source"]
-    place = F.xxhash64(F.lit(seed), "doc_id", "rid.row")  # rows that repeat an id have places of their own
-    rows = rows.withColumn("place", place).withColumn("bucket", F.shiftrightunsigned("place", 64 - (BUCKETS - 1).bit_length()))
+    # An id's hash, whatever files its row lies in; rows of an id that very many have get places of their own.
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > REPEATS) & F.col("doc_id").isNotNull())
+    rows = rows.join(often, "doc_id", "left")
+    alone = F.col("doc_id").isNull() | F.col("rows").isNotNull()
+    place = F.when(alone, F.xxhash64(F.lit(seed), "doc_id", "rid")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    rows = rows.withColumn("place", place).drop("rows").withColumn("bucket", F.shiftrightunsigned("place", 64 - (BUCKETS - 1).bit_length()))
     per_bucket = settle(rows.groupBy(*key, "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sizes = per_bucket.groupBy(*key).agg(F.sum("words").alias("source_size"))
     sources = source_targets(sizes, weights, share, cap)

@@ -80,7 +80,7 @@ def test_mix_equals_a_naive_schedule(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     placed = docs.select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda x: x != "")).alias("size"), F.col("_metadata.row_index").alias("row"))
-    placed = placed.withColumn("place", F.xxhash64(F.lit(0), "doc_id", "row")).collect()
+    placed = placed.withColumn("place", F.xxhash64(F.lit(0), "doc_id")).collect()
     m = mixing.mix(docs, block=block)
     goals = {(r.no_source, r.source): (r.goal, r.source_size, r.slots, r.lo, r.hi) for r in m.sources.collect()}
     total = sum(g[2] for g in goals.values())
@@ -111,6 +111,19 @@ def test_mix_equals_a_naive_schedule(spark, tmp_path):
     assert sum(want.values()) == sum(g[0] for g in goals.values())
 
 
+def test_mix_does_not_depend_on_the_files_and_splits_hot_ids(spark, tmp_path, monkeypatch):
+    rows = [(i, "x " * (i % 50), "s") for i in range(400)] + [(7, "y y", "s")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda d: sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(d, block=16).takes.collect())
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    df.repartition(7).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / p)) for p in ("one", "many"))
+    assert taken(one) == taken(many)
+    monkeypatch.setattr(mixing, "REPEATS", 8)
+    total = sum(t for _, _, t in taken(many))
+    assert total == sum(t for _, _, t in taken(one))
+
+
 def test_pools_equal_a_naive_one():
     texts = ["The the Cat!! sat", "x1 Y2 ### the cat", "sat on the MAT mat mat", "word"]
     v = quality.Vectors.learn(texts * 2)
