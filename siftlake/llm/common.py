@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -48,11 +50,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of an Arrow batch while a table is settled, unless the session has a number of its own.
+BATCH_ROWS, _BATCH = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Texts may be long, so Arrow batches have few rows meanwhile; the session's setting is then as it was.
+    """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_BATCH)
+    if int(before) == 10_000:  # Spark's default
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -156,6 +170,17 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left on the driver: Python's objects, then the JVM's references to shuffles and
+    broadcasts, which Spark removes everywhere once they are collected."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back to the system
+    except (OSError, AttributeError):  # another C library
+        pass
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that settle() wrote and that nothing reads any more."""
     for t in tables:

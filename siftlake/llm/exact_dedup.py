@@ -29,6 +29,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
@@ -44,14 +45,19 @@ def _settings(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def observe(stream: DataFrame, state_dir: str) -> None:
+#: Executors close a partition's state when its batch is committed, instead of keeping it open for the next batch.
+CLOSED = {"spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+
+
+def observe(stream: DataFrame, state_dir: str, batches: int = 2) -> None:
     """Takes all that the stream has now into the state at state_dir; called again, it goes on from there.
 
-    stream: streaming rows (digest binary, ident struct<doc_id, file, row>).
+    stream: streaming rows (digest binary, ident struct<doc_id, file, row>); batches: how many it will take, at
+    least. After a single one the state does not stay open in the executors' memory.
     """
     spark = stream.sparkSession
     seen = stream.groupBy("digest").agg(F.max("ident").alias("winner"), F.count(F.lit(1)).alias("n"))
-    with _settings(spark, STATE):
+    with _settings(spark, STATE | (CLOSED if batches == 1 else {})):
         query = (
             seen.writeStream.outputMode("update").format("noop")
             .option("checkpointLocation", state_dir).trigger(availableNow=True).start()
@@ -90,8 +96,10 @@ def _groups(spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return _named(rows.select("ident", F.col("ident").alias("winner"), F.lit(1).cast("long").alias("n"), "digest"))
 
     state_dir = scratch(spark, "dedup-state")
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    observe(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path), state_dir)
+    files = rows.inputFiles()
+    path = files[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+    observe(stream, state_dir, -(-len(files) // FILES_PER_BATCH))
     state = settle(state_of(spark, state_dir), "dedup-winners")
     hits = settle(rows.join(state.filter("n > 1"), "digest"), "dedup-hits")
     met = _texts(picked(spots, hits.select("ident.file", "ident.row")), id_col, text_col)

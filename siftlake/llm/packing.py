@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, settle, slices, text_of
-from .tokens import default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, known
 
 #: Ids of a sequence, open windows of a partition, partitions whose leftovers are merged together.
 LENGTH, OPEN, MERGED = 1024, 16, 64
+#: Pieces that a task sends on at once; with their ids a piece has up to 4 KB.
+PIECES = 1000
 #: sequence_id: partition (or group of merged partitions) above a running number of so many bits.
 COUNTER_BITS = 33
 COLUMNS = ("doc", "start", "length", "crc", "tokens", "seq", "offset", "ids")
@@ -113,6 +115,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, o
     row. keep_ids adds the ids themselves (little-endian unsigned 32-bit integers).
     """
     vocabulary = vocabulary or default_vocabulary()
+    found = known(vocabulary)
     narrow = docs.select(column(docs, id_col).alias("doc"), text_of(column(docs, text_col)).alias("text"))
     kind = narrow.schema["doc"].dataType
     schema = T.StructType([
@@ -128,7 +131,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, o
         )
 
     def run(batches):
-        enc, task = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, task = encoder(vocabulary, found), TaskContext.get().partitionId()
         rows, count, doc_type = [], 0, None
 
         def done(pieces, window=None):
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, o
             doc_type = b.column("doc").type
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
                 packer.document(doc, enc.ids(text) + b"\0\0\0\0")
-                if len(rows) > 20_000:
+                if len(rows) >= PIECES:
                     yield batch(rows, doc_type)
                     rows.clear()
         for i, w in enumerate(packer.open):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, picked, settle, slices, text_of
+from .common import located, picked, settle, slices, text_of, tidy
 from .labelled import class_sizes, prior_shift, sample, sigmoid, words_of
 from .toxicity import classified
 
@@ -229,7 +229,9 @@ class Model:
 def train_model(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS,
                 id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     sizes = class_sizes(labels, label_col, modulus, held_out, id_col)
-    return Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col), sizes)
+    model = Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col), sizes)
+    tidy(docs.sparkSession)
+    return model
 
 
 def quality(docs: DataFrame, model: Model, modulus: int = 3, held_out: int = 1, threshold: float = 0.5,

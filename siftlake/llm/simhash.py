@@ -42,7 +42,7 @@ SMALL = 48
 #: Shingles hashed at once.
 CHUNK = 1 << 16
 #: Shingles that one task compares together, about; larger groups of candidates are split into tiles.
-SET_TILE = 1 << 19
+SET_TILE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -283,7 +283,7 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
         ]
     dealt = nodes.select("node", *lanes, F.explode(F.array_distinct(F.array(*buckets))).alias("bucket"))
     counted = settle(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1"), "bucket-sizes")
-    large, star = counted.filter(F.col("n") > TILE).select("bucket", "rep"), None
+    large, star = settle(counted.filter(F.col("n") > TILE).select("bucket", "rep"), "large-buckets"), None  # its size is known, so Spark may broadcast it
     if not large.isEmpty():
         firsts = nodes.select(F.col("node").alias("rep"), *[F.col(c).alias(f"r{c}") for c in lanes])
         near = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"r{c}"))) for c in lanes) <= plan.bits
@@ -386,9 +386,8 @@ def _confirmed(candidates: DataFrame, plan: Plan) -> DataFrame:
 
     sets = settle(candidates.select("item", "root", "text").mapInArrow(read, "item long, root long, size long, shingles binary"), "near-sets")
     load = F.col("size") + 64  # a row has its own cost
-    groups = settle(sets.groupBy("root").agg(F.sum(load).alias("load"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-loads")
-    large, star = groups.filter(F.col("load") > SET_TILE).select("root"), None
-    dealt = sets.join(groups.filter(F.col("load") <= SET_TILE).select("root"), "root", "left_semi").select("item", "shingles", F.xxhash64("root").alias("tile"))
+    large, star = settle(sets.groupBy("root").agg(F.sum(load).alias("load")).filter(F.col("load") > SET_TILE).select("root"), "large-groups"), None
+    dealt = sets.join(large, "root", "left_anti").select("item", "shingles", F.xxhash64("root").alias("tile"))
     if not large.isEmpty():
         many = sets.join(large, "root", "left_semi")
         firsts = many.filter("item = root").select("root", F.col("shingles").alias("first"))

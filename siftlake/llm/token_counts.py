@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, located, settle, slices, text_of
-from .tokens import LONGEST, REMEMBERED, Encoder, default_vocabulary, encoder
+from .tokens import LONGEST, REMEMBERED, Encoder, Traits, default_vocabulary, encoder, known
 
 #: Texts of the sample, tasks that count them, entries of a task's summary and of tier 1.
 SAMPLE, TASKS, TABLE = 1000, 8, 32_768
@@ -36,12 +36,13 @@ def sampled_texts(docs: DataFrame, text_col: str, rows: int = SAMPLE) -> DataFra
 
 def frequent_lengths(docs: DataFrame, text_col: str, vocabulary: str) -> dict[str, int]:
     """Tier 1: pre-token -> number of tokens."""
-    enc = Encoder(vocabulary)
+    found = known(vocabulary)
+    enc = Encoder(vocabulary, found)
     if not enc.easy:
         return {}  # the library encodes whole texts
 
     def count(batches):
-        split, seen = encoder(vocabulary).split, Counter()
+        split, seen = encoder(vocabulary, found).split, Counter()
         for b in slices(batches):
             for text in b.column("text").to_pylist():
                 seen.update(p for p in split(text) if len(p) <= LONGEST)
@@ -62,8 +63,8 @@ def frequent_lengths(docs: DataFrame, text_col: str, vocabulary: str) -> dict[st
 class Counts:
     """Numbers of tokens by worker-wide lookups."""
 
-    def __init__(self, vocabulary: str, table: dict[str, int]):
-        self.enc, self.table = encoder(vocabulary), table
+    def __init__(self, vocabulary: str, table: dict[str, int], found: Traits | None = None):
+        self.enc, self.table = encoder(vocabulary, found), table
         self.known = _LENGTHS.setdefault(vocabulary, dict(table))
         for p, n in table.items():
             self.known.setdefault(p, n)
@@ -99,6 +100,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
+    found = known(vocabulary)
     table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, vocabulary))
     narrow = docs.select(column(docs, id_col).alias("doc_id"), text_of(column(docs, text_col)).alias("text"))
     schema = T.StructType([
@@ -107,7 +109,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     ])
 
     def run(batches):
-        counts = Counts(vocabulary, table.value)
+        counts = Counts(vocabulary, table.value, found)
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             n = [counts.count(t) for t in texts]

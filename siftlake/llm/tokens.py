@@ -21,12 +21,14 @@ import array
 import json
 import os
 import re
+from dataclasses import dataclass
 from functools import lru_cache
+from importlib import metadata
 
 import regex
 
 #: Pre-tokens that a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longest pre-token (in characters) that is remembered.
 LONGEST = 64
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
@@ -84,26 +86,63 @@ def plain_bpe(steps: dict) -> bool:
     )
 
 
-def merger(tokenizer, steps: dict):
-    """A function from a pre-token's bytes to its ids by tiktoken, or None where that might not be the library's way."""
-    model, back = steps["model"], {c: b for b, c in byte_letters().items()}
+@dataclass(frozen=True)
+class Traits:
+    """What was found out about a file with these versions of the libraries: whether pre-tokens can be taken here, and
+    whether tiktoken merges them alike."""
+
+    easy: bool
+    merges: bool
+    versions: tuple[str, ...]
+
+
+def versions() -> tuple[str, ...]:
+    return tuple(metadata.version(n) for n in ("tokenizers", "regex", "tiktoken"))
+
+
+def stamp(path: str) -> tuple[int, int]:
+    """Tells a file from another that has taken its place."""
+    s = os.stat(path)
+    return s.st_mtime_ns, s.st_size
+
+
+def traits(vocabulary: str) -> Traits:
+    """Of a .json file; the driver sends them along, and a worker with other versions finds out itself."""
+    return _traits(vocabulary, stamp(vocabulary))
+
+
+@lru_cache(8)
+def _traits(vocabulary: str, _: tuple[int, int]) -> Traits:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    steps = json.loads(tokenizer.to_str())
+    easy = plain_bpe(steps) and not differing(tokenizer.pre_tokenizer, 0x100)
+    return Traits(easy, easy and _merges_alike(tokenizer, steps), versions())
+
+
+def _merges_alike(tokenizer, steps: dict) -> bool:
+    model, letters = steps["model"], set(byte_letters().values())
     vocabulary, made = model["vocab"], -1
     for pair in model["merges"]:
         rank = vocabulary["".join(pair.split(" ") if isinstance(pair, str) else pair)]
         if rank <= made:
-            return None
+            return False
         made = rank
     special = {t["content"] for t in steps.get("added_tokens", [])}
     own = {t: i for t, i in vocabulary.items() if t not in special}
-    if not all(set(t) <= back.keys() for t in own) or not all(c in own for c in back):
-        return None
-    if any([x.id for x in tokenizer.model.tokenize(t)] != [i] for t, i in own.items()):
-        return None
-    try:
-        import tiktoken
-    except ImportError:
-        return None
-    ranks = {bytes(back[c] for c in t): i for t, i in own.items()}
+    if not letters <= own.keys() or not all(set(t) <= letters for t in own):
+        return False
+    return all([x.id for x in tokenizer.model.tokenize(t)] == [i] for t, i in own.items())
+
+
+def merger(tokenizer):
+    """A function from a pre-token's bytes to its ids by tiktoken, over the vocabulary of a file whose traits allow it."""
+    import tiktoken
+
+    back = {c: b for b, c in byte_letters().items()}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(back[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=True).items() if t not in special}
     return tiktoken.Encoding("of a file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
@@ -113,7 +152,7 @@ class Encoder:
     vocabulary: a .json of tokenizers, or a .model of sentencepiece, which encodes whole texts itself.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, known: Traits | None = None):
         self.seen: dict[str, bytes] = {}
         if vocabulary.endswith(".model"):
             import sentencepiece
@@ -129,11 +168,12 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.library = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        steps = json.loads(self.tokenizer.to_str())
-        self.easy = plain_bpe(steps) and not differing(self.tokenizer.pre_tokenizer, 0x100)
+        if known is None or known.versions != versions():
+            known = traits(vocabulary)
+        self.easy = known.easy
         if not self.easy:
             return
-        self.merge = merger(self.tokenizer, steps)
+        self.merge = merger(self.tokenizer) if known.merges else None
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {s: self.pack([i]) for s, i in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -199,14 +239,20 @@ class Encoder:
         return b"".join(self.special.get(p) or self.plain(p) for p in self.parts(text))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def known(vocabulary: str) -> Traits | None:
+    """For the driver to send to encoder()."""
+    return traits(vocabulary) if vocabulary.endswith(".json") else None
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, known: Traits | None = None) -> Encoder:
     """This worker's encoder of that file."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    key = vocabulary, stamp(vocabulary)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, known)
+    return _ENCODERS[key]
 
 
 def default_vocabulary() -> str:

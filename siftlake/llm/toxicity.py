@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, slices, text_of
+from .common import column, slices, text_of, tidy
 from .labelled import class_sizes, logistic, prior_shift, sample, sigmoid, words_of
 
 #: Labelled texts of each class that come to the driver at most; n-gram order; discount.
@@ -292,6 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     sc = docs.sparkSession.sparkContext
     sizes = class_sizes(labels, label_col, modulus, held_out, id_col)
     model = sc.broadcast(Model.train(sample(docs, labels, label_col, modulus, held_out, per_class, id_col, text_col), sizes))
+    tidy(docs.sparkSession)
 
     def make_scores():
         scorer = Scorer(model.value.words)
