@@ -26,11 +26,11 @@ def morton(cols: list[Column], bits: int = 16) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), terms)
 
 
-def ipv4(col: Column) -> Column:
-    """Dotted address as a long; null unless it has four parts of 0 to 255."""
+def ipv4(col: Column, bounded: bool = True) -> Column:
+    """Dotted address as a long; null unless it has four parts of 0 to 255. bounded=False takes four whole numbers of any size."""
     parts = F.split(col, r"\.")
     numbers = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    good = reduce(lambda a, b: a & b, [n.between(0, 255) for n in numbers], F.size(parts) == 4)
+    good = reduce(lambda a, b: a & b, [n.between(0, 255) if bounded else n.isNotNull() for n in numbers], F.size(parts) == 4)
     return F.when(good, reduce(lambda a, n: a * 256 + n, numbers))
 
 
