@@ -170,15 +170,38 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets go of what finished steps have left on the driver: Python's objects, then the JVM's references to shuffles and
-    broadcasts, which Spark removes everywhere once they are collected."""
+def trim() -> None:
+    """Collects this process's garbage and gives freed memory back to the system."""
     gc.collect()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back to the system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished steps have left on the driver: Python's objects, then the JVM's references to shuffles and
+    broadcasts, which Spark removes everywhere once they are collected. Then of what they have left on the executors."""
+    trim()
     spark._jvm.System.gc()
+    tidy_executors(spark)
+
+
+def tidy_executors(spark: SparkSession) -> None:
+    """A short task on each core: its Python worker forgets its encoders, the executor's JVM collects its garbage.
+
+    A heap that has grown in one step stays that large otherwise, beside the workers of the next.
+    """
+    def run(batches):
+        from . import tokens
+
+        tokens.forget()
+        trim()
+        yield from batches
+
+    n = spark.sparkContext.defaultParallelism
+    left = spark.range(0, n, 1, n).mapInArrow(run, "id long")
+    left.select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def forget(*tables: DataFrame) -> None:

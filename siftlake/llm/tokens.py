@@ -255,6 +255,11 @@ def encoder(vocabulary: str, known: Traits | None = None) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drops this worker's encoders; the next task that needs one makes it anew."""
+    _ENCODERS.clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
