@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm import exact_dedup, mixing, packing, quality, simhash
-from siftlake.llm.common import settle, table, tidy
+from siftlake.llm.common import settle, table, tidy, tidy_executors
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     tidy(spark)
+    tidy_executors(spark)
     return quality.keep_good(docs, quality.train_model(docs, table(spark, sf_dir, "labels")))
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tidy(spark)
+    tidy_executors(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tidy(spark)
+    tidy_executors(spark)
     return simhash.drop_near_copies(docs, simhash.NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     tidy(spark)
+    tidy_executors(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a sequence, with its ids."""
     tidy(spark)
+    tidy_executors(spark)
     return packing.pack(docs, keep_ids=True)
 
 
