@@ -11,8 +11,10 @@ from siftlake.llm.common import settle, table, tidy, tidy_executors
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     tidy(spark)
-    tidy_executors(spark)
-    return quality.keep_good(docs, quality.train_model(docs, table(spark, sf_dir, "labels")))
+    tidy_executors(spark, workers=True)
+    good = quality.keep_good(docs, quality.train_model(docs, table(spark, sf_dir, "labels")))
+    tidy_executors(spark, workers=True)  # here, as the next stage runs no Python on executors
+    return good
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,9 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tidy(spark)
     tidy_executors(spark)
-    return simhash.drop_near_copies(docs, simhash.NEAR)
+    alone = simhash.drop_near_copies(docs, simhash.NEAR)
+    tidy_executors(spark, workers=True)  # here, as the next stage runs no Python on executors
+    return alone
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,10 +186,11 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def tidy_executors(spark: SparkSession) -> None:
-    """A short task on each core: its Python worker forgets its encoders, the executor's JVM collects its garbage.
+def tidy_executors(spark: SparkSession, workers: bool = False) -> None:
+    """A short task on each core: the executor's JVM collects its garbage.
 
-    A heap that has grown in one step stays that large otherwise, beside the workers of the next.
+    A heap that has grown in one step stays that large otherwise, beside the workers of the next. With workers, each
+    core's Python worker forgets its encoders and gives freed memory back too; without, no Python runs on executors.
     """
     def run(batches):
         from . import tokens
@@ -199,8 +200,10 @@ def tidy_executors(spark: SparkSession) -> None:
         yield from batches
 
     n = spark.sparkContext.defaultParallelism
-    left = spark.range(0, n, 1, n).mapInArrow(run, "id long")
-    left.select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+    cores = spark.range(0, n, 1, n)
+    if workers:
+        cores = cores.mapInArrow(run, "id long")
+    cores.select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def forget(*tables: DataFrame) -> None:

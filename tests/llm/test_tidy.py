@@ -1,5 +1,8 @@
 """What finished steps leave behind on executors."""
 
+import re
+
+import corpus_pipeline
 from siftlake.llm import common, tokens
 
 
@@ -16,3 +19,34 @@ def test_a_worker_forgets_its_encoders():
     assert tokens._ENCODERS
     tokens.forget()
     assert not tokens._ENCODERS
+
+
+def python_nodes(spark, step):
+    """Python nodes in the plans of all that a step runs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty()
+        runs = store.executionsList()
+        return {r.executionId(): r.physicalPlanDescription() for r in (runs.apply(i) for i in range(runs.size()))}
+
+    before = set(plans())
+    step()
+    new = {k: p for k, p in plans().items() if k not in before}
+    assert new
+    return set(re.findall(r"\b\w*(?:MapIn|EvalPython|InPandas|InArrow)\w*", "\n".join(new.values())))
+
+
+def test_native_stages_run_no_python_on_executors(spark, tmp_path):
+    rows = [(i, f"u{i}", f"s{i % 3}", "en", f"{i // 2} word word") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, source string, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, stages = spark.read.parquet(f"{tmp_path}/docs"), dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+
+    for name in ("exact dedup", "mixing sources to target weights"):
+        assert python_nodes(spark, lambda: run(name)) == set()
+    assert "MapInArrow" in python_nodes(spark, lambda: run("SimHash near-dedup"))
+    assert "MapInArrow" in python_nodes(spark, lambda: common.tidy_executors(spark, workers=True))
