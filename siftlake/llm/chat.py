@@ -48,38 +48,43 @@ def rotate(turns: DataFrame, scene: str = SCENE, per_part: int | None = TURNS_PE
     but `scene` is a participant; a dialogue of scene-setting alone gives no row. per_part=None renders
     each dialogue whole, as part 0, whatever its length. Otherwise part k holds turns k * per_part up to
     (k + 1) * per_part - 1, so that the longest dialogue is many rows, and every part but the one that has
-    it already opens with the dialogue's first scene-setting line (the least by turn, then text).
-    Null turns come first: in part 0 of a whole dialogue, else dealt by hash into parts -1, -2, ... of about
-    per_part different rows. Rows of one turn are ordered by speaker, then text; repeated rows are rendered
-    as often as they occur. A null text is rendered as the empty text, a null or empty speaker as "unknown".
-    All rows without a dialogue id are one dialogue, whose id is null. Texts and names lose "<|" by a
-    backslash, names their line ends, both reversibly, so that no text can end a message or a header.
+    it already opens with the dialogue's first scene-setting line (the least by turn, null last, then text);
+    one that has no turn opens only parts of null turns.
+    Null turns come first: in part 0 of a whole dialogue, else dealt by hash into parts of about per_part
+    different rows, numbered down from -1 or, where there are negative turns, from below their parts.
+    Rows of one turn are ordered by speaker, then text; repeated rows are rendered as often as they occur.
+    A null text is rendered as the empty text, a null or empty speaker as "unknown". All rows without a
+    dialogue id are one dialogue, whose id is null. Texts and names lose "<|" by a backslash, names their
+    line ends, both reversibly, so that no text can end a message or a header.
     """
     said = messages(turns, **columns)
     if per_part is None:
         said = said.withColumn("part", F.lit(0).cast("long"))
     else:
-        unplaced = said.filter("turn IS NULL").groupBy("conv_id").agg(F.ceil(F.count(F.lit(1)) / per_part).alias("parts"))
         placed = said.filter("turn IS NOT NULL").withColumn("part", F.floor(F.col("turn") / per_part).cast("long"))
-        dealt = said.filter("turn IS NULL").alias("s").join(unplaced.alias("u"), F.expr("s.conv_id <=> u.conv_id")).select(
-            "s.*", (-1 - F.pmod(F.xxhash64("s.speaker", "s.text"), F.col("u.parts"))).cast("long").alias("part")
+        below = said.filter("turn IS NULL OR turn < 0").groupBy("conv_id").agg(
+            F.ceil(F.count_if(F.col("turn").isNull()) / per_part).alias("parts"),
+            F.least(F.lit(0), F.floor(F.min("turn") / per_part)).alias("first"),
+        )
+        dealt = said.filter("turn IS NULL").alias("s").join(below.alias("b"), F.expr("s.conv_id <=> b.conv_id")).select(
+            "s.*", (F.col("first") - 1 - F.pmod(F.xxhash64("s.speaker", "s.text"), F.col("parts"))).cast("long").alias("part")
         )
         said = placed.unionByName(dealt)
     said = said.select(
-        "conv_id", "part", F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "speaker", "times",
+        "conv_id", "part", F.col("turn").isNull().alias("unplaced"), F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "speaker", "times",
         _safe(_one_line(F.col("speaker"))).alias("name"), _safe(F.col("text")).alias("text"), F.col("text").alias("raw"),
     )
     people = said.filter(F.col("speaker") != scene).select("conv_id", "part", F.col("speaker").alias("assistant")).distinct()
     # A dialogue's part is gathered once, then shown from each participant's side.
     line = F.struct("turn", "speaker", "raw", "name", "text", "times")
-    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("unplaced").alias("unplaced"))
     parts = parts.withColumn("lines", F.flatten(F.transform("lines", lambda x: F.array_repeat(x, x.times.cast("int")))))
     if per_part is not None:
-        opens = said.filter(F.col("speaker") == scene).groupBy("conv_id").agg(F.min(F.struct("turn", "raw", "part", "speaker", "name", "text")).alias("o"))
+        opens = said.filter(F.col("speaker") == scene).groupBy("conv_id").agg(F.min(F.struct("unplaced", "turn", "raw", "part", "speaker", "name", "text")).alias("o"))
         opening = F.struct("o.turn", "o.speaker", "o.raw", "o.name", "o.text", F.lit(1).cast("long").alias("times"))
         parts = parts.alias("p").join(opens.alias("q"), F.expr("p.conv_id <=> q.conv_id"), "left").select(
             "p.conv_id", "p.part",
-            F.when(F.expr("o IS NOT NULL AND o.part <> p.part"), F.concat(F.array(opening), F.col("lines"))).otherwise(F.col("lines")).alias("lines"),
+            F.when(F.expr("o IS NOT NULL AND o.part <> p.part AND (p.unplaced OR NOT o.unplaced)"), F.concat(F.array(opening), F.col("lines"))).otherwise(F.col("lines")).alias("lines"),
         )
     views = parts.alias("p").join(people.alias("w"), F.expr("p.conv_id <=> w.conv_id AND p.part = w.part")).select("p.conv_id", "p.part", "assistant", "lines")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlake.llm import chat, common, exact_dedup, fingerprints, mixing, packing, quality, simhash, token_counts, toxicity, warc
+from siftlake.llm import chat, common, exact_dedup, fingerprints, mixing, packing, quality, queries, simhash, token_counts, toxicity, warc
 
 CLASHES = "_metadata int, file string, row long, doc string, cell long, bits string, pos int, place string, spot int, words int, source_size string, kept string, item int, b0 string, f0 string"
 EXTRA = (1, "f", 2, "d", 3, "b", 4, "p", 5, 6, "s", "k", 7, "b", "f")
@@ -119,3 +119,20 @@ def test_one_dialogue_without_an_id(spark):
     got = {(r.conv_id, r.assistant, r.part): (r.n_messages, r.n_assistant) for r in chat.rotate(turns).collect()}
     assert got == {(None, "unknown", -1): (1, 1), (None, "a", 0): (1, 1), (1, "a", 0): (3, 2), (1, "unknown", 0): (3, 1)}
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_chat_equals_its_sql_beside_null_turns(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    talk = [(1, i, "system" if i % 600 == 7 else "ab"[i % 2], f"t{i}") for i in range(-700, 1300)]
+    rows = [*talk, (1, None, "system", "aside"), (1, None, "a", "late"), (2, None, "system", "alone"), (2, 0, "a", "x"), (2, 600, "a", "y"), (2, None, "b", "z"),
+            (3, 5, "system", "scene"), (3, 5, "a", "x"), (3, 600, "b", "y"), (3, None, "system", "aside"), (None, None, "c", "w"), (None, -1, "c", "v")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op8_chat"]).fetchall()
+    got = [tuple(r) for r in queries.op8_chat(spark, str(tmp_path)).collect()]
+    assert set(want) <= set(got) and len(got) == len(set(got))
+    # What the SQL drops is parts of its own, below all others; they open with a scene too.
+    beside = {(r[0], r[1], r[2]): r[5] for r in set(got) - set(want)}
+    assert set(beside) == {(1, "a", -3), (2, "b", -1), (None, "c", -2)}
+    assert beside[1, "a", -3].startswith("<|im_start|>system\nt-593<|im_end|>\n") and "\nlate<|im_end|>" in beside[1, "a", -3]
