@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 
 _ROOTS: dict[str, str] = {}
@@ -181,9 +182,32 @@ def trim() -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Lets go of what finished steps have left on the driver: Python's objects, then the JVM's references to shuffles and
-    broadcasts, which Spark removes everywhere once they are collected."""
+    broadcasts, which Spark removes everywhere once they are collected, then what the JVM has freed outside its heap."""
     trim()
     spark._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Gives freed memory outside the heap of the driver's JVM (compilers, codecs) back to the system, as trim() does for
+    Python; the C library keeps it for each thread otherwise, beside a heap that is bounded."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    java = jvm.java.lang
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:  # by reflection, as the server's own class is not open
+        kinds = [java.Class.forName(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        call = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(java.Class, *kinds))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call.invoke(java.management.ManagementFactory.getPlatformMBeanServer(),
+                    array(java.Object, command, "systemTrimNativeHeap", array(java.Object), array(java.String)))
+    except Py4JError:  # another JVM or C library
+        pass
 
 
 def tidy_executors(spark: SparkSession, workers: bool = False) -> None:

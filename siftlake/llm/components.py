@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, settle
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, between: Callable[[], None] = lambda: None) -> DataFrame:
     """(node, root) of every node that has an edge to another; root: the least node that is reachable.
 
     edges: (u: long, v: long), undirected, repeats and loops allowed. Each round hangs the greater
     neighbours of every node, then its lesser ones, under the least it knows; rounds grow with the
     logarithm of the size. Minima are combined before the shuffle and written, so the joins back to the
-    edges are joins of two shuffles, in which a hub's partition can be split.
+    edges are joins of two shuffles, in which a hub's partition can be split. between is called after each round.
     """
     e = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(e)
@@ -32,6 +34,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
+        between()
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 

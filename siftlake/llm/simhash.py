@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import located, picked, settle, slices, text_of
+from .common import located, picked, settle, slices, text_of, tidy
 from .components import components
 
 #: Nodes of a bucket that one task handles together; larger buckets are split into tiles of so many.
@@ -455,12 +455,16 @@ def _groups(spots: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFra
     more = [F.any_value(c).alias(c) for c in ([] if plan.similarity is None else lanes + _bands(plan))]
     counted = rows.groupBy(*same).agg(F.min("doc_id").alias("least"), F.min("item").alias("node"), *more)
     nodes = settle(counted, "near-nodes")  # a node is the first of its rows
-    groups = components(links(nodes, plan))
-    if plan.similarity is not None:
+    exact = plan.similarity is None
+    between = (lambda: None) if exact else (lambda: tidy(spots.sparkSession))  # a stage of many rounds, each leaves its plans
+    groups = components(links(nodes, plan), between=between)
+    if not exact:
+        between()
         held = settle(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "near-candidates")  # roots are not among the nodes
         spotted = settle(rows.select("item", "file", "row").join(held.withColumnRenamed("node", "item"), "item"), "near-spotted")
         texts = _texts(picked(spots, spotted), id_col, text_col).drop("doc_id").join(spotted, ["file", "row"])
-        groups = components(_confirmed(texts, plan))
+        groups = components(_confirmed(texts, plan), between=between)
+        between()
     named = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = settle(named.groupBy("root").agg(F.min("least").alias("component_id")), "near-ids")  # so a hot group's join can be split
     by_node = settle(named.join(ids, "root").select(*same, "component_id", F.col("root").alias("group_key")), "near-components")

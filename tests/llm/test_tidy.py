@@ -1,6 +1,7 @@
 """What finished steps leave behind on executors."""
 
 import re
+import time
 
 import corpus_pipeline
 from siftlake.llm import common, tokens
@@ -14,6 +15,30 @@ def test_executors_collect_their_garbage(spark):
     assert old() > before
 
 
+def test_the_drivers_jvm_gives_freed_native_memory_back(spark):
+    java = spark._jvm.java.lang
+    field = java.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, size = field.get(None), 100_000
+    status = f"/proc/{java.ProcessHandle.current().pid()}/status"
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", open(status).read())[1]) / 1024
+    blocks = [unsafe.allocateMemory(size) for _ in range(4000)]
+    for b in blocks:
+        unsafe.setMemory(b, size, 1)
+    for i, b in enumerate(blocks):
+        if i % 50:  # those that stay keep the C library from giving back whole ends
+            unsafe.freeMemory(b)
+    for _ in range(3):
+        java.System.gc()
+    time.sleep(2)  # so that the heap has shrunk already
+    before = resident()
+    common.tidy(spark)
+    after = resident()
+    for b in blocks[::50]:
+        unsafe.freeMemory(b)
+    assert after < before - 200
+
+
 def test_a_worker_forgets_its_encoders():
     tokens.encoder(tokens.default_vocabulary())
     assert tokens._ENCODERS
